@@ -28,8 +28,8 @@ from .arrowtext import EXACT, NONSPACE, cut_lineage, doc_of, ngrams, row_chunks,
 
 WINDOW = 20
 #: Text bytes that a map task holds at once, that one bucket of hashes stands for, and that one cut task holds.
-CHUNK_BYTES = 12 << 20
-BUCKET_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20
 CUT_BYTES = 8 << 20
 LOWEST_ID = -(1 << 63)
 
@@ -95,21 +95,22 @@ def _runs(a: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _mapper(n: int, bits: int, parts: int, chunk_bytes: int):
-    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate([x[0] for x in held])
-        data = np.concatenate([x[1] for x in held])
-        lengths = np.concatenate([np.diff(x[2]) for x in held])
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        if (ids[1:] < ids[:-1]).any():  # places must ascend with the id
-            order = np.argsort(ids, kind="stable")
-            data = np.concatenate([data[offsets[r] : offsets[r + 1]] for r in order])
-            ids, offsets = ids[order], np.concatenate([[0], np.cumsum(lengths[order])])
-        w = words(data, offsets, NONSPACE, EXACT)
-        at, h = ngrams(w, n)
-        if not len(at):
+    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """held: (ids, words of each document, windows of each document, hashes in order) of some pieces."""
+        ids, n_words, n_windows = (np.concatenate([x[j] for x in held]) for j in range(3))
+        h = np.concatenate([x[3] for x in held])
+        held.clear()
+        if not len(h):
             return
-        bounds = w.bounds[:-1].astype(np.int64)
-        del data, w
+        by_id = np.argsort(ids, kind="stable")
+        bounds = np.zeros(len(ids), np.int64)
+        bounds[by_id[1:]] = np.cumsum(n_words[by_id])[:-1]
+        doc = np.repeat(np.arange(len(ids)), n_windows)
+        at = bounds[doc] + np.arange(len(h)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+        del doc
+        if (ids[1:] < ids[:-1]).any():  # places must ascend with the id
+            order = np.argsort(at, kind="stable")
+            h, at, ids, bounds = h[order], at[order], ids[by_id], bounds[by_id]
         order = np.argsort(h, kind="stable")
         s = h[order]
         first = np.ones(len(s), bool)
@@ -136,16 +137,18 @@ def _mapper(n: int, bits: int, parts: int, chunk_bytes: int):
         yield pa.RecordBatch.from_pydict(out, _SENT_PA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             for lo, hi in row_chunks(batch.column(1), 1 << 20, 1 << 16):
                 data, offsets = text_buffers(batch.column(1).slice(lo, hi - lo))
-                held.append((batch.column(0).slice(lo, hi - lo).to_numpy(), data.copy(), offsets))
+                w = words(data, offsets, NONSPACE, EXACT)
+                n_words = np.diff(w.bounds)
+                held.append((batch.column(0).slice(lo, hi - lo).to_numpy(), n_words, np.maximum(n_words - n + 1, 0), ngrams(w, n)[1]))
                 size += len(data)
                 if size >= chunk_bytes:
                     yield from flush(held)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush(held)
 
