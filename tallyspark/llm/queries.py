@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid, ngram_join, quality, substring_dedup
+from . import decontaminate, fingerprint, langid, ngram_join, packing, quality, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def fold(n: int, doc_id: str = "doc_id") -> F.Column:
     """crc32 of the id as text, modulo n; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % n, F.lit(0))
@@ -29,6 +35,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
@@ -59,6 +69,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
+    "op3_packing": op3_packing,
     "op5_quality": op5_quality,
     "op6_fingerprints": op6_fingerprints,
     "op7_decontamination": op7_decontamination,
