@@ -1,11 +1,74 @@
-"""The corpus pipeline (stages follow)."""
+"""A training-corpus pipeline: quality filter, near-duplicate removal, decontamination, pseudonyms, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
+the columns of ``docs``. Null and empty texts pass every filter that doesn't judge them; empty tables stay empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm import decontaminate, ngram_join, packing, pii, quality
+from tallyspark.llm.queries import fold, table, tokenizer_path
+
+#: SQL can express neither the classifier nor the packing; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a predicted quality of 1; the model learns from the labels outside fold 0."""
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
+    scored = quality.score(docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns}), model, [f"d_{c}" for c in docs.columns], "d_text")
+    return scored.where("predicted = 1").select(*[F.col(f"`d_{c}`").alias(c) for c in docs.columns])
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one with the least id; rows that share an id go together."""
+    links = ngram_join.link(docs)
+    kept = links.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without contaminated documents; fewer benchmark words than that are cut out of the text."""
+    own = docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns})
+    found = decontaminate.find_contamination(own, table(spark, sf_dir, "benchmark"), own.columns, "d_text")
+    clean = found.where(~decontaminate.contaminated())
+    text = F.when(F.col("n_hit") > 0, decontaminate.excise(F.col("d_text"), F.col("spans"))).otherwise(F.col("d_text"))
+    clean = clean.withColumn("new_text", text)
+    return _with_text(clean, docs.columns)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Private values replaced by pseudonyms of the same format."""
+    own = docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns}).withColumn("new_text", F.col("d_text"))
+    return _with_text(pii.pseudonymise(own, "new_text"), docs.columns)
+
+
+def _with_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns again, with the new text and its length where it changed."""
+    changed = ~F.col("new_text").eqNullSafe(F.col("d_text"))
+    new = {"text": F.col("new_text"), "n_chars": F.when(changed, F.length("new_text").cast("bigint")).otherwise(F.col("d_n_chars")) if "n_chars" in columns else None}
+    return df.select(*[(new[c] if c in new else F.col(f"`d_{c}`")).alias(c) for c in columns])
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", ngram_jaccard),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii", pseudonyms),
+    ("packing", sequence_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
