@@ -99,20 +99,19 @@ def canonicalize(text: Column) -> Column:
 
 def canonical_map(text: Column) -> Column:
     """For each canonical character the offset of its source character (white space: of the run's first)."""
-    chars = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["c"] != "")
-
-    def step(s: Column, x: Column) -> Column:
-        space = x["c"].rlike(r"^\s$")
-        width = F.when(x["c"].isin(*LIGATURES), 2).otherwise(1)
-        return F.struct(
-            F.when(space & (s["space"] | (F.size(s["out"]) == 0)), s["out"]).otherwise(F.concat(s["out"], F.array_repeat(x["i"], width))).alias("out"),
-            space.alias("space"),
-        )
+    lead = F.length(F.regexp_extract(text, r"^\s*", 0))
+    last = F.length(F.regexp_replace(text, r"\s+$", ""))
+    blank = lambda c: F.coalesce(c.rlike(r"^\s$"), F.lit(False))
+    none = F.array().cast("array<int>")
+
+    def body(x: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            outside = (i < x["lead"]) | (i >= x["last"]) | (c == "")
+            return F.when(outside | (blank(c) & blank(F.get(x["chars"], i - 1))), none).when(c.isin(*LIGATURES), F.array(i, i)).otherwise(F.array(i))
 
-    def ended(s: Column) -> Column:
-        return F.when(s["space"] & (F.size(s["out"]) > 0), F.slice(s["out"], F.lit(1), F.size(s["out"]) - 1)).otherwise(s["out"])
+        return F.flatten(F.transform(x["chars"], one))
 
-    return F.aggregate(chars, F.struct(F.array().cast("array<int>").alias("out"), F.lit(False).alias("space")), step, ended)
+    return let(F.struct(F.split(text, "").alias("chars"), lead.alias("lead"), last.alias("last")), body)
 
 
 def occurrences(text: Column, part: Column) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import integrity  # noqa: F401
+from . import integrity, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -179,31 +179,31 @@ def canonicalize(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", F.md5(T.canonicalize(F.col("text"))).alias("canonical_md5"))
 
 
-# ---------------------------------------------------------------- provenance: benchmark passages in documents
+# ---------------------------------------------------------------- provenance: a quotation of each document, sought in two versions of it
 
 _CANON = "replace(replace(translate(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))), '01|5', 'olls'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
-_FOUND = f"""WITH s AS (SELECT string_agg(text, chr(10) ORDER BY doc_id) AS src FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL), c AS (SELECT {_CANON.format('src')} AS c FROM s),
- q AS (SELECT item_id AS cite_id, {_CANON.format('text')} AS q FROM benchmark),
- f AS (SELECT cite_id, CASE WHEN length(q) = 0 THEN 0 ELSE (length(c) - length(replace(c, q, ''))) // length(q) END AS n FROM q CROSS JOIN c)"""
+_NEW = "CASE doc_id % 6 WHEN 0 THEN 'Header. ' || text WHEN 1 THEN 'Gone.' ELSE text END"
+_COUNT = "CASE WHEN length(q) = 0 THEN 0 ELSE (length({0}) - length(replace({0}, q, ''))) // length(q) END"
+_FOUND = f"""WITH d AS (SELECT doc_id, {_CANON.format('upper(substring(text, 11, 40))')} AS q, {_CANON.format('text')} AS o, {_CANON.format(_NEW)} AS n FROM documents WHERE text IS NOT NULL),
+ f AS (SELECT doc_id AS cite_id, {_COUNT.format('o')} AS a, {_COUNT.format('n')} AS b, strpos(o, q) AS pa, strpos(n, q) AS pb FROM d)"""
 
 
-def _source(t: Tables, header: str = "") -> DataFrame:
-    """One text: each fiftieth document, in order, as one long source of this example."""
-    part = t.documents.where("doc_id % 50 = 0 and text is not null").select(F.lit("src").alias("source_id"), "doc_id", "text")
-    joined = part.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("source"))
-    return joined.withColumn("source", F.concat(F.lit(header), F.col("source")))
+def _source(t: Tables, text: F.Column) -> DataFrame:
+    return t.documents.where("text is not null").select(F.col("doc_id").alias("source_id"), text.alias("source"))
 
 
-def _citations(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.lit("src").alias("source_id"), F.col("item_id").alias("cite_id"), F.col("text").alias("quote"))
+def _versions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    cites = t.documents.where("text is not null").select(F.col("doc_id").alias("source_id"), F.col("doc_id").alias("cite_id"), F.upper(F.substring("text", 11, 40)).alias("quote"))
+    new = F.when(F.expr("doc_id % 6 = 0"), F.concat(F.lit("Header. "), "text")).when(F.expr("doc_id % 6 = 1"), F.lit("Gone.")).otherwise(F.col("text"))
+    return provenance.manifest(_source(t, F.col("text")), cites), provenance.manifest(_source(t, new), cites)
 
 
-@query("provenance_manifest", f"{_FOUND} SELECT cite_id, CASE WHEN n = 0 THEN 'UNRESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status FROM f")
+@query("provenance_manifest", f"{_FOUND} SELECT cite_id, CASE WHEN a = 0 THEN 'UNRESOLVED' WHEN a > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status FROM f")
 def provenance_manifest(t: Tables) -> DataFrame:
-    return provenance.manifest(_source(t), _citations(t)).select("cite_id", "status")
+    return _versions(t)[0].select("cite_id", "status")
 
 
-@query("coverage_diff", f"{_FOUND} SELECT cite_id, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 0 THEN 'STABLE' ELSE 'DRIFTED' END AS change, CAST(CASE WHEN n = 1 THEN 8 END AS INTEGER) AS delta FROM f")
+@query("coverage_diff", f"""{_FOUND} SELECT cite_id, CASE WHEN a > 1 OR b > 1 THEN 'AMBIGUOUS' WHEN a = 1 AND b = 0 THEN 'LOST' WHEN a = 0 AND b = 1 THEN 'GAINED' WHEN a = 1 AND pa <> pb THEN 'DRIFTED' ELSE 'STABLE' END AS change,
+ CAST(CASE WHEN a = 1 AND b = 1 AND pa <> pb THEN pb - pa END AS INTEGER) AS delta FROM f""")
 def coverage_diff(t: Tables) -> DataFrame:
-    old, new = provenance.manifest(_source(t), _citations(t)), provenance.manifest(_source(t, "Header.\n"), _citations(t))
-    return provenance.diff(old, new).select("cite_id", "change", "delta")
+    return provenance.diff(*_versions(t)).select("cite_id", "change", "delta")
