@@ -184,7 +184,7 @@ def canonicalize(t: Tables) -> DataFrame:
 _CANON = "replace(replace(translate(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))), '01|5', 'olls'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
 _NEW = "CASE doc_id % 6 WHEN 0 THEN 'Header. ' || text WHEN 1 THEN 'Gone.' ELSE text END"
 _COUNT = "CASE WHEN length(q) = 0 THEN 0 ELSE (length({0}) - length(replace({0}, q, ''))) // length(q) END"
-_FOUND = f"""WITH d AS (SELECT doc_id, {_CANON.format('upper(substring(text, 11, 40))')} AS q, {_CANON.format('text')} AS o, {_CANON.format(_NEW)} AS n FROM documents WHERE text IS NOT NULL),
+_FOUND = f"""WITH d AS (SELECT doc_id, {_CANON.format('replace(substring(text, 11, 40), chr(32), chr(32) || chr(32))')} AS q, {_CANON.format('text')} AS o, {_CANON.format(_NEW)} AS n FROM documents WHERE text IS NOT NULL),
  f AS (SELECT doc_id AS cite_id, {_COUNT.format('o')} AS a, {_COUNT.format('n')} AS b, strpos(o, q) AS pa, strpos(n, q) AS pb FROM d)"""
 
 
@@ -193,7 +193,7 @@ def _source(t: Tables, text: F.Column) -> DataFrame:
 
 
 def _versions(t: Tables) -> tuple[DataFrame, DataFrame]:
-    cites = t.documents.where("text is not null").select(F.col("doc_id").alias("source_id"), F.col("doc_id").alias("cite_id"), F.upper(F.substring("text", 11, 40)).alias("quote"))
+    cites = t.documents.where("text is not null").select(F.col("doc_id").alias("source_id"), F.col("doc_id").alias("cite_id"), F.replace(F.substring("text", 11, 40), F.lit(" "), F.lit("  ")).alias("quote"))
     new = F.when(F.expr("doc_id % 6 = 0"), F.concat(F.lit("Header. "), "text")).when(F.expr("doc_id % 6 = 1"), F.lit("Gone.")).otherwise(F.col("text"))
     return provenance.manifest(_source(t, F.col("text")), cites), provenance.manifest(_source(t, new), cites)
 
