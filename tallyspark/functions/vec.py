@@ -87,9 +87,13 @@ def blake_slots(tokens: Column, family: str = "keyed64", dim: int = 256, seed: i
     return slots(tokens)
 
 
-@pandas_udf("string")
-def float32_digest(vectors: pd.Series) -> pd.Series:
+def float32_digest(vectors: Column) -> Column:
     """BLAKE2b-128 of the little-endian float32 bytes of an array of arrays, row after row."""
-    import numpy as np
 
-    return vectors.map(lambda rows: hashlib.blake2b(np.asarray([list(r) for r in rows], "<f4").tobytes(), digest_size=16).hexdigest())
+    @pandas_udf("string")
+    def digest(batch: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return batch.map(lambda rows: hashlib.blake2b(np.asarray([list(r) for r in rows], "<f4").tobytes(), digest_size=16).hexdigest())
+
+    return digest(vectors)

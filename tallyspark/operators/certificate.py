@@ -14,7 +14,7 @@ NORM_TOLERANCE = 0.05
 def digest(probes: DataFrame) -> DataFrame:
     """One row: the canonical digest of the vectors in probe order (a certificate has a dozen probes)."""
     rows = probes.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("rows"))
-    return rows.select(vec.float32_digest("rows").alias("digest"))
+    return rows.select(vec.float32_digest(F.col("rows")).alias("digest"))
 
 
 def compare(reference: DataFrame, live: DataFrame, key: list[str] | None = None) -> DataFrame:
