@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tallyspark.functions import text as T
 
@@ -112,9 +114,6 @@ def recursive_split(sources: DataFrame, size: int = 400) -> DataFrame:
 
     Recursion has no relational form: an Arrow-batched function.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         def pieces(t: str, seps: list[str]) -> list[str]:
