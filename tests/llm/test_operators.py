@@ -24,7 +24,7 @@ def prose(n):
 BASE = prose(120)
 SHARED = prose(40)
 EDIT = BASE.replace(BASE.split(" ")[50], "changed", 1)
-TEXTS = [BASE, BASE, EDIT, prose(80) + " " + SHARED + " " + prose(30), SHARED + " " + prose(60), "", None, "one two", "  \n\t ", "!!! ???", prose(30000), "ſ ß İ Ünïcode 日本語 テスト", "one two", SHARED]
+TEXTS = [BASE, BASE, EDIT, prose(80) + " " + SHARED + " " + prose(30), SHARED + " " + prose(60), "", None, "one two", "  \n\t ", "!!! ???", prose(6000), "ſ ß İ Ünïcode 日本語 テスト", "one two", SHARED]
 DOCS = [(i, t, "en" if i % 2 else None, "s", len(t or "")) for i, t in enumerate(TEXTS)] + [(None, "null id text", None, None, None), (3, "a second row of id three", "en", "s", 1)]
 
 
