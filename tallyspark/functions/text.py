@@ -49,7 +49,9 @@ def finditer(text: Column, pattern: str) -> Column:
 def shingles(normalized: Column, k: int = GLOBAL_SHINGLE) -> Column:
     """Distinct character k-grams; a shorter text is one shingle, an empty text none."""
     n = F.length(normalized)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(normalized, i, F.lit(k))))
+    starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
+    # Slices of a character array: a substring would walk the text from its beginning each time.
+    grams = F.array_distinct(let(F.split(normalized, ""), lambda c: F.transform(starts, lambda i: F.array_join(F.slice(c, i, F.lit(k)), ""))))
     return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(normalized)).otherwise(grams)
 
 

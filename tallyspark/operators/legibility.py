@@ -61,6 +61,7 @@ def table_score(lines: Column) -> Column:
 
 def order_margins(line_vectors: DataFrame) -> DataFrame:
     """(id, margin) from (id, line, n, bucket, w): mean cosine of neighbours less that of lines two apart; from four lines on."""
+    line_vectors = line_vectors.persist()  # read five times below; lost blocks are computed anew
     nn = line_vectors.groupBy("id", "line").agg(F.sum(F.col("w") * F.col("w")).alias("nn"))
     n = line_vectors.groupBy("id").agg(F.first("n").alias("n")).where("n >= 4")
 

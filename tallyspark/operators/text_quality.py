@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions import text as T
+
 # Common English words.
 STOPWORDS = "the and of to a in is it for on with as are was at by an be this that from or they their its into each both have has".split()
 
@@ -16,7 +18,8 @@ def _prepared(text: Column) -> Column:
 def trigrams(docs: DataFrame) -> DataFrame:
     """(id, ctx, nxt, n): character trigram counts of (id, text)."""
     p = docs.where("text is not null").select("id", _prepared(F.col("text")).alias("s"))
-    grams = p.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substring("s", i, F.lit(3)))).alias("g"))
+    starts = F.sequence(F.lit(1), F.length("s") - 2)
+    grams = p.select("id", F.explode(T.let(F.split("s", ""), lambda c: F.transform(starts, lambda i: F.array_join(F.slice(c, i, F.lit(3)), "")))).alias("g"))
     return grams.groupBy("id", F.substring("g", 1, 2).alias("ctx"), F.substring("g", 3, 1).alias("nxt")).agg(F.count("*").alias("n"))
 
 

@@ -148,7 +148,7 @@ _GRAMS = "SELECT doc_id, g[1:2] AS ctx, g[3:3] AS nxt, count(*) AS n FROM (SELEC
 
 @query("trigram_perplexity", f"WITH g AS ({_GRAMS}), m AS (SELECT ctx, nxt, sum(n) AS c FROM g GROUP BY 1,2), x AS (SELECT ctx, sum(c) AS tot FROM m GROUP BY 1), v AS (SELECT count(DISTINCT nxt) AS v FROM m) SELECT doc_id, round(sum(n * -ln((c + 1) / (tot + v))) / sum(n), 6) AS ppl FROM g JOIN m USING (ctx, nxt) JOIN x USING (ctx) CROSS JOIN v GROUP BY doc_id")
 def trigram_perplexity(t: Tables) -> DataFrame:
-    grams = text_quality.trigrams(t.documents.select(F.col("doc_id").alias("id"), "text"))
+    grams = text_quality.trigrams(t.documents.select(F.col("doc_id").alias("id"), "text")).persist()  # the model and the scores read it
     return text_quality.perplexity(grams, text_quality.train(grams)).select(F.col("id").alias("doc_id"), F.round("ppl", 6).alias("ppl"))
 
 
