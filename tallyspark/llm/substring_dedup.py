@@ -31,6 +31,8 @@ WINDOW = 20
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 CUT_BYTES = 8 << 20
+#: Packed bytes of one Arrow batch from Python; larger ones are costly for the executor's direct memory.
+SENT_BYTES = 1 << 20
 LOWEST_ID = -(1 << 63)
 
 
@@ -120,14 +122,19 @@ def _mapper(n: int, bits: int, parts: int, chunk_bytes: int):
         starts = np.searchsorted(s[first], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, int)
         edge = np.append(starts, len(order))
         out: dict[str, list] = {f.name: [] for f in _SENT_PA}
+        size = 0
         for b in range(1 << bits):
             if edge[b] == edge[b + 1]:
                 continue
+            if size >= SENT_BYTES:
+                yield pa.RecordBatch.from_pydict(out, _SENT_PA)
+                out, size = {k: [] for k in out}, 0
             own = np.sort(order[edge[b] : edge[b + 1]])
             place = at[own]
             rows = np.arange(len(bounds)) if len(own) > len(bounds) else np.unique(doc_of(place, bounds))
             for name, v in zip(out, (b, 0, int(ids[rows[0]]), int(bounds[rows[0]]), deltas(ids[rows]), deltas(bounds[rows]), np.ascontiguousarray(h[own], "<u8").tobytes() if bits < 8 else h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes(), pack(np.diff(place, prepend=0))), strict=True):
                 out[name].append(v)
+                size += len(v) if isinstance(v, bytes) else 0
         if len(again):
             row = doc_of(again, bounds)
             local = _by_part(ids[row], again - bounds[row], parts)
