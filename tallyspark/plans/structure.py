@@ -84,9 +84,30 @@ _NRM = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
  g AS (SELECT doc_id, length(s) AS n, list_distinct(list_transform(range(1, greatest(length(s) - 10, 2)), lambda i: substring(s, i, 12))) AS sh, coalesce(h, '') AS h FROM f LEFT JOIN k USING (doc_id))
  SELECT doc_id, round(len(list_filter(sh, lambda x: contains(h, x))) / len(sh), 9) AS coverage FROM g WHERE n >= 12""")
 def shingle_coverage(t: Tables) -> DataFrame:
-    src, _ = _doc_lines(t)
-    parts = src.select("doc_id", F.split("source", "\n", -1).alias("ls")).select("doc_id", T.normalize(F.col("ls")[0]).alias("s"), F.array_join(F.transform(F.slice("ls", F.lit(2), F.size("ls")), T.normalize), "\n").alias("h"))
-    return parts.where(F.length("s") >= 12).select("doc_id", F.round(T.coverage(T.shingles(F.col("s")), F.col("h")), 9).alias("coverage"))
+    """(doc_id, pos, coverage): the share of each line's shingles that other lines of its document have."""
+    docs = t.documents.where("text is not null").select("doc_id", F.transform(F.split("text", "\n", -1), T.normalize).alias("ls"))
+    k = T.GLOBAL_SHINGLE
+
+    def covered(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for doc, ls in zip(batch["doc_id"], batch["ls"].to_pylist(), strict=True):
+                grams = {i: {s[j : j + k] for j in range(len(s) - k + 1)} for i, s in enumerate(ls) if len(s) >= k}
+                seen, again = set(), set()  # a shingle of full length has no line feed, so it is in the other lines together if it is in one of them
+                for g in grams.values():
+                    again |= g & seen
+                    seen |= g
+                out += [(doc.as_py(), i, len(g & again) / len(g)) for i, g in grams.items()]
+            ids, pos, share = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch["doc_id"].type), pa.array(pos, pa.int32()), pa.array(share, pa.float64())], ["doc_id", "pos", "coverage"])
+
+    long = docs.mapInArrow(covered, f"doc_id {dict(docs.dtypes)['doc_id']}, pos int, coverage double")
+    few = docs.select("doc_id", "ls", F.explode(F.filter(F.transform("ls", lambda s, i: F.struct(i.alias("pos"), s.alias("s"))), lambda x: F.length(x["s"]) < k)).alias("x"))
+    rest = F.concat(F.slice("ls", F.lit(1), F.col("x.pos")), F.slice("ls", F.col("x.pos") + 2, F.size("ls")))
+    short = few.select("doc_id", F.col("x.pos").alias("pos"), T.coverage(T.shingles(F.col("x.s")), F.array_join(rest, "\n")).alias("coverage"))
+    return long.unionByName(short).select("doc_id", "pos", F.round("coverage", 9).alias("coverage"))
 
 
 # ---------------------------------------------------------------- legibility
