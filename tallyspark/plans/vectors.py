@@ -145,7 +145,7 @@ def pooled_ndcg_delta(t: Tables) -> DataFrame:
  SELECT round((SELECT avg(v) FROM r), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high FROM m""")
 def bootstrap_ci(t: Tables) -> DataFrame:
     delta = reindex.pooled_delta(_dense(t, 10), _by_label(t, 8), _relevant(t), "qid", "id", 10)
-    return stats.bootstrap_mean(delta, "delta", "qid", 200).select(*[F.round(c, 9).alias(c) for c in ("mean", "ci_low", "ci_high")])
+    return stats.bootstrap_mean(delta, "delta", "qid").select(*[F.round(c, 9).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 
 @query("anisotropy", "WITH u AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings) SELECT count(DISTINCT a.vec_id) AS n, round(avg(list_dot_product(a.v, b.v)), 6) AS mean_cosine FROM u a JOIN u b ON a.vec_id <> b.vec_id")
