@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms by a keyed Feistel network, in DataFrame functions only.
 
-Found by pattern and then validated: card numbers (Luhn), IBANs (mod 97), social security and phone
-numbers (numbering rules), IPv4 addresses and calendar dates; also the local part of e-mail addresses, access keys and
-secrets. Each value is permuted within its own format under the key, so equal values stay equal across
+Found by pattern and then validated: card numbers (Luhn), IBANs (mod 97), social security
+numbers (numbering rules), IPv4 addresses and calendar dates; also phone numbers of any area code, the local part of
+e-mail addresses, access keys and secrets. Each value is permuted within its own format under the key, so equal values stay equal across
 documents, other values stay apart, and the key's owner can turn them back. What does not validate stays.
 
 Two networks do the work. Over strings, one half's letters and digits shift, within their kind, by a stream from
@@ -23,17 +23,17 @@ KEY = "tallyspark-demo-key"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w-])",
     "access_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/]{12,128}[\"']?",
+    "secret": r"(?:(?i:password|passwd|secret|token|api_key|apikey))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/]{12,128}[\"']?",
     "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ipv4": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w/-])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\)[ ]?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])",
+    "phone": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])",
     "card": r"[3-6][0-9]{3}(?:[ -]?[0-9]){9,15}(?![\w-])",
 }
 ANY = r"(?<![\w.+%-])(?:" + "|".join(PATTERNS.values()) + ")"
-#: Every pattern needs one of these characters; most texts of prose have none.
-HINT = "[0-9@=:]"
+#: Every pattern needs one of these; most texts of prose have none.
+HINT = "[0-9@=:]|AKIA|ASIA"
 
 
 def _shift(part: Column, stream: Column, back: bool) -> Column:
@@ -141,11 +141,13 @@ def _ssn(v: Column, key: str, back: bool) -> Column:
 def _phone(v: Column, key: str, back: bool) -> Column:
     d = digits(v)
     d = F.substring(d, F.length(d) - 9, F.lit(10))
-    area, rest = _number(F.substring(d, 1, 3)) - 200, _number(F.substring(d, 4, 7))
-    new = permute_pair(area * 1000 + F.floor(rest / 10000), rest % 10000, 800_000, 10_000, key, "phone", back)
-    ten = F.transform(F.array(new), lambda p: F.concat(_pad(F.floor(p["x"] / 1000) + 200, 3), _pad(p["x"] % 1000, 3), _pad(p["y"], 4)))[0]
+    area, rest = _number(F.substring(d, 1, 3)), _number(F.substring(d, 4, 7))
+    # Areas from 200 up, which the numbering plan allows, and those below stay apart.
+    low = F.when(area >= 200, 200).otherwise(0)
+    new = permute_pair((area - low) * 1000 + F.floor(rest / 10000), rest % 10000, F.when(area >= 200, 800_000).otherwise(200_000), 10_000, key, "phone", back)
+    ten = F.transform(F.array(new), lambda p: F.concat(_pad(F.floor(p["x"] / 1000) + low, 3), _pad(p["x"] % 1000, 3), _pad(p["y"], 4)))[0]
     lead = F.when(v.startswith("+1"), F.lit("1")).otherwise(F.lit(""))
-    return F.when(area >= 0, _refill(v, F.concat(lead, ten)))
+    return _refill(v, F.concat(lead, ten))
 
 
 def _ipv4(v: Column, key: str, back: bool) -> Column:
@@ -181,7 +183,7 @@ def _access_key(v: Column, key: str, back: bool) -> Column:
 
 
 def _secret(v: Column, key: str, back: bool) -> Column:
-    lead = F.regexp_extract(v, r"^[a-z_]+\s*[=:]\s*[\"']?", 0)
+    lead = F.regexp_extract(v, r"(?i)^[a-z_]+\s*[=:]\s*[\"']?", 0)
     tail = F.regexp_extract(v, r"[\"']?$", 0)
     body = F.substring(v, F.length(lead) + 1, F.length(v) - F.length(lead) - F.length(tail))
     return F.concat(lead, permute_text(body, key, "secret", back), tail)
