@@ -102,8 +102,8 @@ def _signer(n: int, bands: int, rows: int):
     return make
 
 
-def linked_pairs(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs (a < b) among candidates: pairs that share a band; with two sides, one from each."""
+def linked_pairs(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs (a < b) among candidates: pairs that share a band; with sides, one from each, so that a single side has none."""
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     found_a, found_b = [], []
@@ -114,7 +114,7 @@ def linked_pairs(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, si
             near |= bands[lo:hi, k, None] == bands[None, :, k]
         near &= np.minimum(size[lo:hi, None], size) >= similarity * np.maximum(size[lo:hi, None], size) - 1e-9
         near &= np.arange(m)[None, :] > np.arange(lo, hi)[:, None]
-        if side.any() and not side.all():
+        if side is not None:
             near &= side[lo:hi, None] != side[None, :]
         a, b = np.nonzero(near)
         found_a.append(a + lo), found_b.append(b)
@@ -207,7 +207,7 @@ def _verifier(n: int, similarity: float):
             sets = [h[bounds[r] : bounds[r + 1]] for r in good]
             bands = np.stack([part["bands"][int(r)].values.to_numpy() for r in good])
             chunk = part["chunk"].to_numpy()[good]
-            side = chunk == block[lo, 2] if block[lo, 1] != block[lo, 2] else np.zeros(len(good), bool)
+            side = chunk == block[lo, 2] if block[lo, 1] != block[lo, 2] else None
             a, b = linked_pairs(sets, bands, side, similarity)
             if not len(a):
                 continue
