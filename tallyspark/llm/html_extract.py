@@ -22,6 +22,8 @@ from .arrowtext import map_texts
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style noscript template iframe svg math textarea title head select button canvas object audio video noembed noframes".split())
 OPAQUE = frozenset("script style textarea title noembed noframes iframe".split())
+#: The head's own elements: any other, or text, ends an open head.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,11 +60,21 @@ def blocks(html: str) -> list[Block]:
                 out.append(Block(text, tags, names, linked, frozenset(inline)))
         parts, linked, inline = [], 0, set()
 
+    def leave_head() -> None:
+        nonlocal in_link, raw_depth
+        k = next(k for k, (t, _) in enumerate(stack) if t == "head")
+        for t, _ in stack[k:]:
+            in_link -= t == "a"
+            raw_depth -= t in RAW
+        del stack[k:]
+
     at, lower, n = 0, None, len(html)
     while at < n:
         open_at = html.find("<", at)
         if open_at < 0:
             open_at = n
+        if raw_depth and stack[-1][0] == "head" and html[at:open_at].strip():
+            leave_head()
         if open_at > at and not raw_depth:
             text = unescape(html[at:open_at])
             parts.append(text)
@@ -97,6 +109,8 @@ def blocks(html: str) -> list[Block]:
                 raw_depth -= t in RAW
             del stack[depth:]
             continue
+        if raw_depth and (stack[-1][0] == "head" and tag not in HEAD or tag == "body" and any(t == "head" for t, _ in stack)):
+            leave_head()
         if tag in VOID:
             if tag not in INLINE and not raw_depth:
                 if tag == "br":
