@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrowtext import EXACT, doc_of, mix, prefix, text_buffers, words, P_BYTE
+from .arrowtext import EXACT, doc_of, mix, prefix, text_buffers, words, written, P_BYTE
 
 SAMPLES = 128
 _CHUNK_CHARS = 3 << 20
@@ -144,65 +144,80 @@ def _sign_all(texts: list[str], samples: int) -> list[list]:
     ]
 
 
-def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, part_bytes: int = 16 << 20) -> DataFrame:
+#: Text bytes of a part, and the most parts: Spark draws 100 keys a part to find their bounds.
+PART_BYTES = 32 << 20
+MOST_PARTS = 50_000
+
+
+def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, part_bytes: int = PART_BYTES) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
-    The next document is the one after in the order of (id, a hash of the text), null ids first; after the last comes
-    the first, so a single row is followed by itself. A null text counts as empty; the fingerprint of
-    an empty text is the empty string, like (1.0) only another empty one.
+    The next document is the one after in the order of (id, a hash of the text), null ids first, ids of any ordered
+    type; after the last comes the first, so a single row is followed by itself. Rows that repeat id and text follow
+    each other. A null text counts as empty; the fingerprint of an empty text is the empty string, like (1.0) only
+    another empty one. Other columns are not read, whatever their names; an empty table gives no rows.
+
+    Rows are dealt into parts by ranges of that order, and each part is read once in order. Only the last row of a part
+    lacks its follower; it meets the first row of the next part in a join of one row a part.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").alias("i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
-    cuts = sorted(set(base.agg(F.percentile_approx("i", [j / parts for j in range(1, parts)] or [0.5], parts * 20)).first()[0] or []))
-    bound = F.array(*[F.lit(c) for c in cuts])
-    # Parts ascend with the id; ties of an id stay together.
-    part = F.when(F.col("i").isNull(), 0).otherwise(F.size(F.filter(bound, lambda c: c < F.col("i"))) + 1) if len(cuts) <= 64 else _searched(spark, cuts)
-    placed = base.withColumn("part", part)
-    heads = placed.groupBy("part").agg(F.min(F.struct("i", "h")).alias("head"), F.min(F.when(F.col("i").isNull(), F.col("h"))).alias("hn")).orderBy("part").collect()  # a row for each part
-    if not heads:
-        return spark.createDataFrame([], f"{id_col} {dict(docs.dtypes)[id_col]}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes)))
+    # The row's number splits rows that repeat id and text; any order among these is the same.
+    order = ["i", "h", "n"]
+    dealt = base.withColumn("n", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     kind = dict(base.dtypes)["i"]
-    before = [(heads[j - 1]["part"], r["head"]["i"], r["head"]["h"]) for j, r in enumerate(heads)]
-    borrowed = spark.createDataFrame(before, f"part int, i {kind}, h long")
-    first = base.alias("b").join(F.broadcast(borrowed.alias("w")), F.col("b.i").eqNullSafe(F.col("w.i")) & (F.col("b.h") == F.col("w.h"))).select("w.part", "b.i", "b.h", "b.t").dropDuplicates(["part"])
-    rows = placed.select("part", F.lit(0).alias("role"), "i", "h", "t").unionByName(first.select("part", F.lit(1).alias("role"), "i", "h", "t"))
-    ordered = rows.repartition(parts, "part").sortWithinPartitions("part", "role", "i", "h")
+    made = ", ".join(f"{n} {'long' if t == pa.int64() else 'double' if t == pa.float64() else 'string'}" for n, t in _FIELDS)
+    numbered = dealt.select(F.spark_partition_id().alias("part"), "i", "t")
+    done = written(numbered.mapInArrow(_in_order(samples), f"part int, i {kind}, {made}, head string, last string"))
+    edge = done.where("last is not null").select("part", "i", "head", "last")
+    after = edge.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next"))  # two numbers a part
+    heads = edge.select(F.col("part").alias("next"), F.col("head").alias("following"))
+    pairs = edge.select("part", "i", "last").join(after, "part").join(heads, "next").select("i", "last", "following")
+    closed = pairs.mapInArrow(_pairs(samples), f"i {kind}, {made}")
+    names = ["i", *[n for n, _ in _FIELDS]]
+    return done.where("last is null").select(*names).unionByName(closed).withColumnRenamed("i", id_col)
+
+
+def _in_order(samples: int):
+    """Signs the rows of a part but the last; one more row has the part's first and last texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[str] = []
-        size = 0
+        size, part, head = 0, None, None
 
-        def made(ids: list, texts: list[str]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(v, t) for v, (_, t) in zip(_sign_all(texts, samples), _FIELDS, strict=True))], names=["i", *(n for n, _ in _FIELDS)])
+        def batch_of(ids: list, columns: list[list], heads: list, lasts: list) -> pa.RecordBatch:
+            values = [pa.array([part] * len(ids), pa.int32()), pa.array(ids, id_type), *(pa.array(v, t) for v, (_, t) in zip(columns, _FIELDS, strict=True)), pa.array(heads, pa.string()), pa.array(lasts, pa.string())]
+            return pa.RecordBatch.from_arrays(values, names=["part", "i", *(n for n, _ in _FIELDS), "head", "last"])
 
         for batch in batches:
             id_type = batch.schema.field("i").type
-            for role, i, t in zip(batch.column("role").to_pylist(), batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                if role:  # the head of the next part closes this one
-                    if ids:
-                        yield made(ids, [*texts, t])
-                    ids, texts, size = [], [], 0
-                    continue
+            if batch.num_rows and part is None:
+                part = batch.column("part")[0].as_py()
+            for i, t in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                head = t if head is None else head
                 if size > _CHUNK_CHARS or len(ids) >= 2048:
-                    yield made(ids, [*texts, t])
+                    yield batch_of(ids, _sign_all([*texts, t], samples), [None] * len(ids), [None] * len(ids))
                     ids, texts, size = [], [], 0
                 ids.append(i), texts.append(t)
                 size += len(t)
+        if ids:
+            if len(ids) > 1:
+                yield batch_of(ids[:-1], _sign_all(texts, samples), [None] * (len(ids) - 1), [None] * (len(ids) - 1))
+            yield batch_of(ids[-1:], [[None]] * len(_FIELDS), [head], texts[-1:])
 
-    out = ordered.mapInArrow(run, f"i {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumnRenamed("i", id_col)
+    return run
 
 
-def _searched(spark, cuts: list) -> F.Column:
-    """Number of cuts below the id, by halving: log2(n) comparisons instead of n."""
+def _pairs(samples: int):
+    """Signs each row's last text by the text that follows it."""
 
-    def tree(lo: int, hi: int) -> F.Column:
-        if lo == hi:
-            return F.lit(lo + 1)
-        mid = (lo + hi) // 2
-        return F.when(F.col("i") <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (t, following) in enumerate(zip(batch.column("last").to_pylist(), batch.column("following").to_pylist(), strict=True)):
+                columns = _sign_all([t, following], samples)
+                yield pa.RecordBatch.from_arrays([batch.column("i").slice(k, 1), *(pa.array(v, f) for v, (_, f) in zip(columns, _FIELDS, strict=True))], names=["i", *(n for n, _ in _FIELDS)])
 
-    return F.when(F.col("i").isNull(), 0).otherwise(tree(0, len(cuts)))
+    return run
