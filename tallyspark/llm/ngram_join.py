@@ -5,12 +5,14 @@ four words is a single shingle. Rows and bands follow from the threshold and the
 
 1. One narrow pass makes a set key, the set's size and its band hashes for each document. Equal sets
    collapse to one node with a count before anything else, so copies cost nothing later.
-2. Nodes shuffle on band hashes; a bucket links its nodes to its least node. Components of these
-   candidate links are groups within which every candidate pair lies. A pair is a candidate if it shares a
-   band and its sizes allow the similarity.
+2. Nodes shuffle on band hashes; a bucket, in slices, links its nodes to the least of their slice, and those to the
+   bucket's least. Components of these candidate links are groups within which every candidate pair lies. A pair is a
+   candidate if it shares a band and its sizes allow the similarity.
 3. Each group, in blocks of bounded size, verifies its candidate pairs on full sets, and sends back
    only counts and a spanning forest of links. A group larger than a block is cut into chunks, and each pair of
-   chunks is one block: every pair is verified in exactly one block, and none is emitted.
+   chunks is one block: every pair is verified in exactly one block, and none is emitted. A group of more than
+   MOST_CHUNKS chunks may be no group at all but many that chance links join, so that most of its pairs are no
+   candidates: its band buckets are the groups instead, and a pair is verified in the bucket of its first shared band.
 4. Components of the forest are the classes.
 """
 
@@ -22,11 +24,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, cut_lineage, doc_of, list_array, map_texts, mix, ngrams, text_buffers, words
-from .components import components
+from .components import components, slices, with_least
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -36,6 +38,8 @@ UNLIKE = 0.4
 BLOCK_SETS = 1024
 BLOCK_SHINGLES = 1 << 20
 BIN_SHINGLES = 1 << 20
+#: Chunks of a group beyond which its band buckets are verified instead of all pairs of its chunks.
+MOST_CHUNKS = 8
 LOWEST_ID = -(1 << 63)
 
 
@@ -102,16 +106,19 @@ def _signer(n: int, bands: int, rows: int):
     return make
 
 
-def linked_pairs(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs (a < b) among candidates: pairs that share a band; with sides, one from each, so that a single side has none."""
+def linked_pairs(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray | None, similarity: float, first: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs (a < b) among candidates: pairs that share a band (``first``, if given, is the first that they share);
+    with sides, one from each, so that a single side has none."""
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     found_a, found_b = [], []
     for lo in range(0, m, 256):
         hi = min(m, lo + 256)
         near = np.zeros((hi - lo, m), bool)
-        for k in range(bands.shape[1]):
+        for k in range(bands.shape[1] if first < 0 else first):
             near |= bands[lo:hi, k, None] == bands[None, :, k]
+        if first >= 0:
+            near = (bands[lo:hi, first, None] == bands[None, :, first]) & ~near
         near &= np.minimum(size[lo:hi, None], size) >= similarity * np.maximum(size[lo:hi, None], size) - 1e-9
         near &= np.arange(m)[None, :] > np.arange(lo, hi)[:, None]
         if side is not None:
@@ -185,10 +192,10 @@ def _verifier(n: int, similarity: float):
     schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by([("comp", "ascending"), ("ci", "ascending"), ("cj", "ascending"), ("node", "ascending")])
+        t = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("comp", "band", "ci", "cj", "node")])
         if not t.num_rows:
             return
-        block = np.stack([t[c].to_numpy() for c in ("comp", "ci", "cj")], 1)
+        block = np.stack([t[c].to_numpy() for c in ("comp", "band", "ci", "cj")], 1)
         edge = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]).any(1)) + 1, [len(block)]])
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
             part = t.slice(lo, hi - lo)
@@ -199,7 +206,6 @@ def _verifier(n: int, similarity: float):
             heads = np.flatnonzero(np.diff(doc, prepend=-1))
             key = np.zeros(len(texts), np.uint64)
             key[doc[heads]] = set_keys(doc, h, heads)
-            # Rows that share an id may bring other texts; one row of the node's own set stays.
             good = np.flatnonzero(key.view(np.int64) == node)
             good = good[np.unique(node[good], return_index=True)[1]]
             if len(good) < 2:
@@ -207,8 +213,8 @@ def _verifier(n: int, similarity: float):
             sets = [h[bounds[r] : bounds[r + 1]] for r in good]
             bands = np.stack([part["bands"][int(r)].values.to_numpy() for r in good])
             chunk = part["chunk"].to_numpy()[good]
-            side = chunk == block[lo, 2] if block[lo, 1] != block[lo, 2] else None
-            a, b = linked_pairs(sets, bands, side, similarity)
+            side = chunk == block[lo, 3] if block[lo, 2] != block[lo, 3] else None
+            a, b = linked_pairs(sets, bands, side, similarity, part["band"][0].as_py())
             if not len(a):
                 continue
             weight = part["copies"].to_numpy()[good]
@@ -220,48 +226,88 @@ def _verifier(n: int, similarity: float):
     return run
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """id, class_id, n_links, n_shingles for each row.
+def _bucket_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links that connect the nodes of each band bucket; a bucket's rows are dealt in slices."""
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    n = slices(nodes.count())
+    sliced = banded.withColumn("slice", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(n)))
+    first = sliced.withColumn("least", F.min("node").over(Window.partitionBy("band", "bucket", "slice")))
+    heads = first.where("node = least").select("band", "bucket", "node")  # at most n rows a bucket
+    second = heads.withColumn("least", F.min("node").over(Window.partitionBy("band", "bucket")))
+    return first.select("node", "least").unionByName(second.select("node", "least")).where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
 
-    class_id is the least id of the rows connected by links (pairs with Jaccard similarity of shingle sets >=
-    ``similarity``); n_links counts the other rows linked to this one, equal texts included. Rows with a null
-    text or no words have no link and are their own class. Rows that repeat an id are rows of their own
-    with links like any others; a null id sorts before all others and is a class id of its own.
-    """
+
+def _chunked(member: DataFrame) -> DataFrame:
+    """Adds chunks, the number of parts that a group (comp, band) is cut into."""
+    size = member.groupBy("comp", "band").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    size = size.where("members > 1").select("comp", "band", F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
+    return member.join(size, ["comp", "band"])
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (i, th, key, n) with their set's key, and sets (key, least, n_links); least is the class's least (i, th)."""
     bands, rows = banding(similarity, recall)
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LOWEST_ID)).alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    sig = cut_lineage(map_texts(base, _signer(n, bands, rows), [("key", "bigint"), ("n", "int"), ("bands", "array<bigint>")], ["i"], "t"))
-    nodes = cut_lineage(sig.where("n > 0").groupBy(F.col("key").alias("node")).agg(F.min("i").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("band", "bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    stars = banded.join(shared, ["band", "bucket"]).where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = cut_lineage(components(stars).select("node", F.col("root").alias("comp")))
-
-    member = groups.join(nodes, "node")
-    size = member.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    size = size.select("comp", F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("chunks"), "shingles")
-    total = size.agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
+    base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LOWEST_ID)).alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).withColumn("th", F.xxhash64("t"))
+    sig = cut_lineage(map_texts(base, _signer(n, bands, rows), [("key", "bigint"), ("n", "int"), ("bands", "array<bigint>")], ["i", "th"], "t"))
+    # One text stands for each node, known by its id and hash, as rows may share an id and bring other texts.
+    nodes = cut_lineage(sig.where("n > 0").groupBy(F.col("key").alias("node")).agg(F.min(F.struct("i", "th")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+
+    groups = cut_lineage(components(_bucket_links(nodes)).select("node", F.col("root").alias("comp")))
+    member = _chunked(groups.join(nodes, "node").withColumn("band", F.lit(-1)))
+    wide = member.where(F.col("chunks") > MOST_CHUNKS).drop("chunks", "band").select("*", F.posexplode("bands").alias("band", "bucket"))
+    wide = _chunked(wide.withColumn("comp", F.xxhash64("band", "bucket")).drop("bucket"))
+    member = cut_lineage(member.where(F.col("chunks") <= MOST_CHUNKS).unionByName(wide))
+    total = member.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BIN_SHINGLES))
     # Every pair of chunks of a group is a block; a member goes to the blocks of its chunk.
     chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
     blocks = (
-        member.join(size.drop("shingles"), "comp")
-        .withColumn("chunk", chunk)
+        member.withColumn("chunk", chunk)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("comp", "node", "rep", "copies", "bands", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunks")
-        .withColumn("bin", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("comp"), F.lit(bins))).otherwise(F.xxhash64("comp", "ci", "cj")))
+        .select("comp", "band", "node", "rep.i", "rep.th", "copies", "bands", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunks")
+        .withColumn("bin", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("comp", "band"), F.lit(bins))).otherwise(F.xxhash64("comp", "band", "ci", "cj")))
     )
-    with_text = blocks.join(base.where("t is not null").withColumnRenamed("i", "rep"), "rep").select("bin", "comp", "ci", "cj", "chunk", "node", "copies", "bands", "t")
+    texts = base.where("t is not null").dropDuplicates(["i", "th"])  # rows that repeat id and text are one
+    with_text = blocks.join(texts, ["i", "th"]).select("bin", "comp", "band", "ci", "cj", "chunk", "node", "copies", "bands", "t")
     verified = cut_lineage(with_text.groupBy("bin").applyInArrow(_verifier(n, similarity), "node bigint, root bigint, links bigint"))
 
     classes = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    reps = nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = reps.groupBy("root").agg(F.min("rep").alias("class_id"))
+    reps = nodes.join(classes, "node", "left").select("node", "copies", "rep", F.coalesce("root", "node").alias("root"))
+    least = with_least(reps, "root", "rep", slices(0))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    facts = reps.select("node", "root", "copies").join(least, "root").join(links, "node", "left").select(F.col("node").alias("key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = sig.where("n > 0").select("i", "key", "n").join(facts, "key").select("i", "class_id", "n_links", "n")
+    return sig, least.join(links, "node", "left").select(F.col("node").alias("key"), F.col("m").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """id, class_id, n_links, n_shingles for each row.
+
+    class_id is the least id of the rows connected by links (pairs with Jaccard similarity of shingle sets >=
+    ``similarity``); n_links counts the other rows linked to this one, equal texts included. Rows with a null
+    text or no words have no link and are their own class. Rows that repeat an id are rows of their own
+    with links like any others; a null id sorts before all others and is a class id of its own. Ids are whole
+    numbers: others are an error of the cast (in ANSI mode). Other columns are not read, whatever their names; texts are
+    read whole, however long; an empty table gives no rows.
+    """
+    sig, sets = _classes(docs, id_col, text_col, n, similarity, recall)
+    out = sig.where("n > 0").select("i", "key", "n").join(sets, "key").select("i", F.col("least.i").alias("class_id"), "n_links", "n")
     alone = sig.where("n = 0").select("i", F.col("i").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), "n")
     null = lambda c: F.when(F.col(c) != LOWEST_ID, F.col(c))
     return out.unionByName(alone).select(null("i").alias(id_col), null("class_id").alias("class_id"), "n_links", F.col("n").cast("bigint").alias("n_shingles"))
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The columns of ``docs`` and one row of each class of ``link``: that with the least id (null first), and of several
+    with this id the one whose text has the least hash.
+
+    Rows without words are classes of their own and stay. Of rows that repeat both id and text one stays, whichever
+    if other columns differ. Columns may have any names.
+    """
+    sig, sets = _classes(docs, id_col, text_col, n, similarity, recall)
+    worded = sig.where("n > 0").groupBy("i", "th").agg((F.count("*") > 1).alias("again"))
+    kept = worded.join(sets.select("least.i", "least.th").distinct(), ["i", "th"]).unionByName(sig.where("n = 0").select("i", "th", F.lit(False).alias("again")).distinct())
+    kept = cut_lineage(kept)
+    own = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(docs.columns)]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LOWEST_ID)).alias("i"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("th"))
+    once = own.join(kept.where("not again"), ["i", "th"], "left_semi")
+    again = own.join(kept.where("again"), ["i", "th"], "left_semi").groupBy("i", "th").agg(F.first("row").alias("row"))
+    return once.select("row").unionByName(again.select("row")).select(*[F.col(f"row.c{j}").alias(c) for j, c in enumerate(docs.columns)])
