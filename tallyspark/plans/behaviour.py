@@ -103,7 +103,7 @@ def _edges(t: Tables) -> DataFrame:
     return a.join(b, ["l_orderkey", "n"]).select("u", "v").distinct()
 
 
-_EDGES = "SELECT DISTINCT a.l_suppkey AS u, b.l_suppkey AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE (a.l_suppkey % 10 = 0 OR b.l_suppkey % 10 = 0) AND a.l_suppkey % 17 <> 0 AND b.l_suppkey % 17 <> 0"
+_EDGES = "SELECT DISTINCT a.l_suppkey AS u, b.l_suppkey AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
 _ADJ = f"WITH e AS ({_EDGES}), adj AS (SELECT u AS id, v AS nb FROM e UNION SELECT v, u FROM e), deg AS (SELECT s_suppkey AS id, count(nb) AS degree FROM supplier LEFT JOIN adj ON id = s_suppkey GROUP BY 1)"
 
 
@@ -167,9 +167,10 @@ def _calls(t: Tables) -> DataFrame:
     return full.unionByName(empty).unionByName(again)
 
 
-_H = "array_to_string((list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> ''))[1:{1}], ' ')"
+_H = "array_to_string(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> ''), ' ')"
+_THIN = "array_to_string(list_filter(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> ''), lambda x, i: i % 2 = 1), ' ')"
 _CALLS = f"""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations),
- c AS (SELECT concat_ws(':', conv_id, turn) AS qid, {_H.format('text', 6)} AS f, CASE turn % 3 WHEN 0 THEN {_H.format('text', 6)} WHEN 1 THEN {_H.format('text', 3)} ELSE 'IDK' END AS e, {_H.format('before', 6)} AS r, before FROM p WHERE before IS NOT NULL AND text IS NOT NULL),
+ c AS (SELECT concat_ws(':', conv_id, turn) AS qid, {_H.format('text')} AS f, CASE turn % 3 WHEN 0 THEN {_H.format('text')} WHEN 1 THEN {_THIN.format('text')} ELSE 'IDK' END AS e, {_H.format('before')} AS r, before FROM p WHERE before IS NOT NULL AND text IS NOT NULL),
  j AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(f), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(e), '\\s+'), lambda x: x <> '')) AS b FROM c),
  i AS (SELECT *, CASE WHEN NOT (length(f) > 0 AND upper(trim(f)) <> 'IDK') THEN 0.0 WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS inv FROM j),
  k AS (SELECT greatest(0.35, least(0.95, quantile_cont(inv, 0.9) + 0.15)) AS threshold, quantile_cont(inv, 0.9) AS q90, count(*) AS n FROM i)"""

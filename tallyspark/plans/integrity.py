@@ -76,19 +76,25 @@ OTHERS = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 def _mentions(t: Tables, least: int) -> DataFrame:
-    lines = t.lineitem.where(F.col("l_quantity") >= least).select("l_orderkey", F.col("l_partkey").alias("entity"))
-    return lines.join(t.orders.select("o_orderkey", F.col("o_orderpriority").alias("source_type")), F.col("l_orderkey") == F.col("o_orderkey")).select("entity", "source_type")
+    """Every line mentions its part: as its order's priority, or, in small quantities, as the part's own type."""
+    lines = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("entity"), (F.col("l_quantity") >= least).alias("large"))
+    both = lines.join(t.orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.select("entity", F.when(F.col("large"), F.col("o_orderpriority")).otherwise(OWN).alias("source_type"))
 
 
 def _registry(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("entity"))
 
 
+def _mention_sql(least: int) -> str:
+    return f"SELECT l_partkey, CASE WHEN l_quantity >= {least} THEN o_orderpriority ELSE '1-URGENT' END AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
 def _audit_sql(least: int) -> str:
     return f"""SELECT p_partkey AS entity, count(DISTINCT st) / 4.0 AS type_coverage, count(st) AS total_other_mentions,
   coalesce(string_agg(DISTINCT st, ',' ORDER BY st), '') AS mentioning_types,
   CASE WHEN count(DISTINCT st) = 0 THEN 'orphan' WHEN count(DISTINCT st) / 4.0 <= 1.0/3 OR count(st) < 3 THEN 'thin' ELSE 'adequate' END AS severity
- FROM part LEFT JOIN (SELECT l_partkey, o_orderpriority AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= {least} AND o_orderpriority <> '1-URGENT') m ON l_partkey = p_partkey GROUP BY p_partkey"""
+ FROM part LEFT JOIN (SELECT * FROM ({_mention_sql(least)}) WHERE st <> '1-URGENT') m ON l_partkey = p_partkey GROUP BY p_partkey"""
 
 
 @query("coverage_audit", f"SELECT entity, CAST(type_coverage AS DOUBLE) AS type_coverage, total_other_mentions, mentioning_types, severity FROM ({_audit_sql(47)})")
@@ -108,7 +114,7 @@ def coverage_drift(t: Tables) -> DataFrame:
     return drift.severity_drift(a, b)
 
 
-@query("keyword_count_audit", "SELECT p_partkey AS entity, count(l_partkey) AS mentions, count(l_partkey) >= 5 AS covered FROM part LEFT JOIN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_quantity >= 47) ON l_partkey = p_partkey GROUP BY p_partkey")
+@query("keyword_count_audit", f"SELECT p_partkey AS entity, count(l_partkey) AS mentions, count(l_partkey) >= 5 AS covered FROM part LEFT JOIN ({_mention_sql(47)}) ON l_partkey = p_partkey GROUP BY p_partkey")
 def keyword_count_audit(t: Tables) -> DataFrame:
     return coverage.keyword_count(_registry(t), _mentions(t, 47))
 

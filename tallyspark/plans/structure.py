@@ -29,11 +29,18 @@ def _chunks(t: Tables) -> DataFrame:
     return conservation.blocks(_pages(t)).where("(doc_id + pos) % 7 <> 3")
 
 
-_N = "(SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey)"
-
-
-@query("markdown_elements", f"""SELECT type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest([{{'type':'tables','n':1}},{{'type':'headings','n':1}},{{'type':'list_items','n':2}},{{'type':'links','n':1}},{{'type':'code_blocks','n':1}},
- {{'type':'numeric_spans','n': CAST(5 + CASE WHEN {_N} = 0 THEN 2 ELSE 3 * {_N} END AS INTEGER)}}], recursive := true) FROM nation) GROUP BY type""")
+_PAGE = f"""page AS (SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '# Nation ' || n_name || chr(10) || chr(10) || '| key | name | balance |' || chr(10) || '|---|---|---|' || chr(10) || coalesce(r, '| 0 | none | 0 |') || chr(10) || chr(10) || '- region number ' || n_regionkey || chr(10) || '- see [the list](http://x.test/' || n_nationkey || ')' || chr(10) || chr(10) || '```' || chr(10) || 'code 42' || chr(10) || '```' || chr(10) || chr(10) || 'Tail 3.14 of ' || n_name AS source
+  FROM nation LEFT JOIN (SELECT s_nationkey, string_agg({_ROW.format(str="VARCHAR")}, chr(10) ORDER BY s_suppkey) AS r FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey)"""
+_MD = f"""WITH {_PAGE}, ln AS (SELECT doc_id, unnest(string_split(source, chr(10))) AS t, generate_subscripts(string_split(source, chr(10)), 1) AS i FROM page),
+ f AS (SELECT *, regexp_matches(ltrim(t), '^(```|~~~)') AS fence FROM ln), g AS (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS nf, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS total FROM f),
+ c AS (SELECT *, (fence OR nf % 2 = 1) AND ceil(nf / 2.0) * 2 <= total AS code, ceil(nf / 2.0) AS block FROM g), p AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM c WHERE NOT code AND contains(t, '|')),
+ tab AS (SELECT doc_id, island, string_agg(t, chr(10) ORDER BY i) AS text FROM p GROUP BY 1, 2 HAVING count(*) >= 2 AND bool_or(regexp_matches(t, '^\\s*\\|?[\\s:|-]*-[\\s:|-]*\\|?\\s*$')))"""
+
+
+@query("markdown_elements", f"""{_MD}, e AS (SELECT 'tables' AS type, count(*) AS n FROM tab UNION ALL SELECT 'code_blocks', count(DISTINCT (doc_id, block)) FROM c WHERE code
+  UNION ALL SELECT 'headings', count(*) FROM c WHERE NOT code AND starts_with(ltrim(t), '#') UNION ALL SELECT 'list_items', count(*) FROM c WHERE NOT code AND NOT starts_with(ltrim(t), '#') AND regexp_matches(t, '^\\s*(?:[-*+]|[0-9]+\\.)\\s+\\S')
+  UNION ALL SELECT 'links', sum(len(regexp_extract_all(t, '\\[[^\\]]+\\]\\([^)]+\\)'))) FROM c WHERE NOT code UNION ALL SELECT 'numeric_spans', sum(len(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)*'))) FROM c WHERE NOT code)
+ SELECT type, CAST(n AS BIGINT) AS n FROM e WHERE n > 0""")
 def markdown_elements(t: Tables) -> DataFrame:
     return conservation.elements(_pages(t)).groupBy("type").agg(F.count("*").alias("n"))
 
@@ -48,13 +55,20 @@ def conservation_per_type(t: Tables) -> DataFrame:
     return conservation.per_type(conservation.manifest(_pages(t), _chunks(t)), _pages(t))
 
 
-@query("conservation_tables", "SELECT n_nationkey AS doc_id, CAST(1 AS BIGINT) AS total, CASE WHEN (n_nationkey + 1) % 7 = 3 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS ratio FROM nation")
+_TABLES_KEPT = _MD + """, blk AS (SELECT doc_id, b, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS pos FROM (SELECT doc_id, unnest(string_split(source, chr(10) || chr(10))) AS b, generate_subscripts(string_split(source, chr(10) || chr(10)), 1) AS j FROM page) WHERE trim(regexp_replace(b, '\\s+', ' ', 'g')) <> ''),
+ kept AS (SELECT doc_id, string_agg(lower(trim(regexp_replace(b, '\\s+', ' ', 'g'))), chr(1) ORDER BY pos) AS h FROM blk WHERE (doc_id + pos) % 7 <> 3 GROUP BY 1),
+ n AS (SELECT tab.doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS s, coalesce(h, '') AS h FROM tab LEFT JOIN kept USING (doc_id)),
+ sh AS (SELECT doc_id, h, list_distinct(list_transform(range(1, greatest(length(s) - 10, 2)), lambda i: substring(s, i, 12))) AS g FROM n),
+ r AS (SELECT page.doc_id, count(sh.doc_id) AS total, CASE WHEN count(sh.doc_id) = 0 THEN 1.0 ELSE round(count(*) FILTER (len(list_filter(g, lambda x: contains(h, x))) / len(g) >= 0.85) / count(sh.doc_id), 6) END AS ratio FROM page LEFT JOIN sh USING (doc_id) GROUP BY 1)"""
+
+
+@query("conservation_tables", f"{_TABLES_KEPT} SELECT doc_id, total, CAST(ratio AS DOUBLE) AS ratio FROM r")
 def conservation_tables(t: Tables) -> DataFrame:
     got = conservation_per_type(t).where("type = 'tables'")
     return got.select("doc_id", "total", "ratio")
 
 
-@query("conservation_drift", "SELECT n_nationkey AS doc_id, CAST(1.0 AS DOUBLE) AS previous, CASE WHEN (n_nationkey + 1) % 7 = 3 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS current, (n_nationkey + 1) % 7 = 3 AS regressed FROM nation")
+@query("conservation_drift", f"{_TABLES_KEPT} SELECT doc_id, CAST(1.0 AS DOUBLE) AS previous, CAST(ratio AS DOUBLE) AS current, ratio < 1 AS regressed FROM r")
 def conservation_drift(t: Tables) -> DataFrame:
     pages = _pages(t)
     whole = conservation.per_type(conservation.manifest(pages, conservation.blocks(pages)), pages)
@@ -80,9 +94,17 @@ def token_recall(t: Tables) -> DataFrame:
 _NRM = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 
 
-@query("shingle_coverage", f"""WITH l AS ({_LINES}), f AS (SELECT doc_id, {_NRM.format('l')} AS s FROM l WHERE pos = 0), k AS (SELECT doc_id, string_agg({_NRM.format('l')}, chr(10) ORDER BY pos) AS h FROM l WHERE pos <> 0 GROUP BY doc_id),
- g AS (SELECT doc_id, length(s) AS n, list_distinct(list_transform(range(1, greatest(length(s) - 10, 2)), lambda i: substring(s, i, 12))) AS sh, coalesce(h, '') AS h FROM f LEFT JOIN k USING (doc_id))
- SELECT doc_id, round(len(list_filter(sh, lambda x: contains(h, x))) / len(sh), 9) AS coverage FROM g WHERE n >= 12""")
+_ALNUM = "regexp_matches({0}, '[\\p{{L}}\\p{{N}}]')"
+_BOUND = f"(NOT {_ALNUM.format('left(a.s, 1)')} OR i = 1 OR NOT {_ALNUM.format('substring(b.s, i - 1, 1)')}) AND (NOT {_ALNUM.format('right(a.s, 1)')} OR NOT {_ALNUM.format('substring(b.s, i + length(a.s), 1)')})"
+
+
+@query("shingle_coverage", f"""WITH s AS (SELECT doc_id, pos, {_NRM.format('l')} AS s FROM ({_LINES})),
+ g AS (SELECT doc_id, pos, unnest(list_distinct(list_transform(range(1, length(s) - 10), lambda i: substring(s, i, 12)))) AS sh FROM s WHERE length(s) >= 12),
+ k AS (SELECT doc_id, sh, count(*) AS n FROM g GROUP BY 1, 2),
+ short AS (SELECT a.doc_id, a.pos, coalesce(bool_or(len(list_filter(range(1, length(b.s) - length(a.s) + 2), lambda i: substring(b.s, i, length(a.s)) = a.s AND {_BOUND})) > 0), false) AS hit
+  FROM s a LEFT JOIN s b ON a.doc_id = b.doc_id AND a.pos <> b.pos AND contains(b.s, a.s) WHERE length(a.s) BETWEEN 1 AND 11 GROUP BY 1, 2)
+ SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END), 9) AS coverage FROM g JOIN k USING (doc_id, sh) GROUP BY 1, 2
+ UNION ALL SELECT doc_id, CAST(pos AS INTEGER), CASE WHEN hit THEN 1.0 ELSE 0.0 END FROM short UNION ALL SELECT doc_id, CAST(pos AS INTEGER), 1.0 FROM s WHERE s = ''""")
 def shingle_coverage(t: Tables) -> DataFrame:
     """(doc_id, pos, coverage): the share of each line's shingles that other lines of its document have."""
     docs = t.documents.where("text is not null").select("doc_id", F.transform(F.split("text", "\n", -1), T.normalize).alias("ls"))
@@ -139,24 +161,33 @@ def _order_tables(t: Tables, collapse: bool) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("id"), "text", "n")
 
 
-_TABLES = "SELECT l_orderkey AS id, count(*) >= 3 AS applicable, CASE WHEN count(*) < 3 THEN CAST(1 AS DOUBLE) ELSE CAST({0} AS DOUBLE) END AS score FROM lineitem GROUP BY l_orderkey"
+_CELL_LINE = "rpad('item' || l_linenumber, 10, ' ') || rpad(CAST(l_partkey AS VARCHAR), 12, ' ') || rpad(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 10, ' ') || l_suppkey"
+# A cell starts at a character that follows two spaces or nothing.
+_TABLES = """WITH line AS (SELECT l_orderkey AS id, {0} AS s FROM lineitem),
+ t AS (SELECT id, s, list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '') AS w, list_filter(range(1, length(s) + 1), lambda i: substring(s, i, 1) <> ' ' AND (i = 1 OR i > 2 AND substring(s, i - 2, 2) = '  ')) AS st FROM line),
+ o AS (SELECT id, count(*) AS n, median(len(w)) AS mid, avg(CASE WHEN length(s) < 60 THEN 1 ELSE 0 END) AS brief, sum(len(list_filter(w, lambda x: regexp_matches(x, '[0-9]')))) / sum(len(w)) AS digits, avg(CASE WHEN len(st) >= 2 THEN 1 ELSE 0 END) AS celled, count(*) FILTER (len(st) >= 2) AS rows, median(len(st)) FILTER (len(st) >= 2) AS cols FROM t GROUP BY id),
+ m AS (SELECT id, max(c) AS top FROM (SELECT id, len(w), count(*) AS c FROM t GROUP BY 1, 2) GROUP BY id), mc AS (SELECT id, max(c) AS top_cells FROM (SELECT id, len(st), count(*) AS c FROM t WHERE len(st) >= 2 GROUP BY 1, 2) GROUP BY id),
+ al AS (SELECT id, count(*) FILTER (c >= 0.6 * rows) AS hits FROM (SELECT id, x, count(*) AS c FROM (SELECT id, unnest(list_distinct(st)) AS x FROM t WHERE len(st) >= 2) GROUP BY 1, 2) JOIN o USING (id) GROUP BY id),
+ a AS (SELECT o.id, o.n, o.n >= 3 AND mid >= 3 AND brief >= 0.6 AND digits >= 0.15 AND top / o.n >= 0.6 AS applicable, 0.5 * celled + 0.3 * coalesce(top_cells / rows, 0) + 0.2 * CASE WHEN rows < 2 THEN 0 ELSE least(1, hits / cols) END AS raw FROM o JOIN m USING (id) LEFT JOIN mc USING (id) LEFT JOIN al USING (id))"""
+_SCORES = " SELECT id, applicable, CASE WHEN applicable THEN CAST(round(raw, 9) AS DOUBLE) ELSE 1.0 END AS score FROM a"
+_COLLAPSED = _TABLES.format(f"trim(regexp_replace({_CELL_LINE}, ' {{2,}}', ' ', 'g'))")
 
 
-@query("table_score", _TABLES.format("1.0"))
+@query("table_score", _TABLES.format(_CELL_LINE) + _SCORES)
 def table_score(t: Tables) -> DataFrame:
     x = _order_tables(t, False).select("id", T.lines(F.col("text")).alias("ls"))
     ok = legibility.looks_tabular(F.col("ls"))
     return x.select("id", ok.alias("applicable"), F.when(ok, F.round(legibility.table_score(F.col("ls")), 9)).otherwise(1.0).alias("score"))
 
 
-@query("collapsed_tables", _TABLES.format("0.0"))
+@query("collapsed_tables", _COLLAPSED + _SCORES)
 def collapsed_tables(t: Tables) -> DataFrame:
     x = _order_tables(t, True).select("id", T.lines(F.col("text")).alias("ls"))
     ok = legibility.looks_tabular(F.col("ls"))
     return x.select("id", ok.alias("applicable"), F.when(ok, F.round(legibility.table_score(F.col("ls")), 9)).otherwise(1.0).alias("score"))
 
 
-@query("legibility_gate", "SELECT l_orderkey AS id, count(*) < 3 AS legible, CASE WHEN count(*) < 3 THEN '' ELSE 'collapsed table structure' END AS reasons FROM lineitem GROUP BY l_orderkey")
+@query("legibility_gate", _COLLAPSED + " SELECT id, NOT (applicable AND raw < 0.5) AS legible, CASE WHEN applicable AND raw < 0.5 THEN 'collapsed table structure' ELSE '' END AS reasons FROM a")
 def legibility_gate(t: Tables) -> DataFrame:
     got = legibility.score(_order_tables(t, True).select("id", "text"), vec.md5_slots)
     return got.select("id", "legible", F.array_join("reasons", ",").alias("reasons"))

@@ -141,7 +141,7 @@ def pooled_ndcg_delta(t: Tables) -> DataFrame:
 
 
 @query("bootstrap_ci", f"""WITH d AS ({_POOLED}), r AS (SELECT delta AS v, row_number() OVER (ORDER BY qid) - 1 AS i FROM d), n AS (SELECT count(*) AS n FROM r),
- s AS (SELECT b, CAST('0x' || md5('1234:' || b || ':' || k)[1:12] AS BIGINT) % n AS i FROM n, range(0, 200) x(b), range(0, (SELECT n FROM n)) y(k)), m AS (SELECT b, avg(v) AS m FROM s JOIN r USING (i) GROUP BY b)
+ s AS (SELECT b, CAST('0x' || md5('1234:' || b || ':' || k)[1:12] AS BIGINT) % n AS i FROM n, range(0, 2000) x(b), range(0, (SELECT n FROM n)) y(k)), m AS (SELECT b, avg(v) AS m FROM s JOIN r USING (i) GROUP BY b)
  SELECT round((SELECT avg(v) FROM r), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high FROM m""")
 def bootstrap_ci(t: Tables) -> DataFrame:
     delta = reindex.pooled_delta(_dense(t, 10), _by_label(t, 8), _relevant(t), "qid", "id", 10)
@@ -153,7 +153,8 @@ def anisotropy(t: Tables) -> DataFrame:
     return liveness.anisotropy(t.embeddings.select(F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))).select("n", F.round("mean_cosine", 6).alias("mean_cosine"))
 
 
-@query("embedding_health", "SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS wrong_width, CAST(0 AS BIGINT) AS non_finite, count(*) FILTER (vec_id % 25 = 0) AS zero_norm FROM embeddings")
+@query("embedding_health", """WITH x AS (SELECT CAST(CASE WHEN vec_id % 25 = 0 THEN list_transform(embedding, lambda e: e * 0) ELSE embedding END AS DOUBLE[]) AS v FROM embeddings)
+ SELECT count(*) AS n, count(*) FILTER (len(v) <> 64) AS wrong_width, count(*) FILTER (len(list_filter(v, lambda e: e IS NULL OR isnan(e) OR isinf(e))) > 0) AS non_finite, count(*) FILTER (sqrt(list_dot_product(v, v)) < 1e-6) AS zero_norm FROM x""")
 def embedding_health(t: Tables) -> DataFrame:
     zeros = F.when(F.expr("vec_id % 25 = 0"), F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
     return liveness.embedding_health(t.embeddings.select(F.col("vec_id").alias("pos"), zeros.alias("v")), 64)
@@ -214,17 +215,31 @@ def _state(t: Tables) -> DataFrame:
     return liveness.checks(docs, index, emb, queries, hits, 64)
 
 
-@query("liveness_stages", "SELECT * FROM (VALUES (0,'ingest','ok',NULL),(1,'index','dead','dangling-ids'),(2,'embed','skipped',NULL),(3,'retrieve','skipped',NULL),(4,'score','skipped',NULL)) v(ord,stage,status,reason) WHERE (SELECT count(*) FROM embeddings WHERE vec_id = 7) = 1")
+_CHECKS = f"""WITH docs AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS text FROM embeddings), idx AS (SELECT CASE WHEN vec_id = 7 THEN 1000000000 ELSE vec_id END AS id FROM embeddings),
+ emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS nv FROM embeddings),
+ hits AS (SELECT qid AS qi, rank, id, CASE WHEN qid = 40 THEN 0.5 ELSE sim END AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM ({_DENSE})) WHERE rank <= 5),
+ pairs AS (SELECT avg(CASE WHEN a.nv = 0 OR b.nv = 0 THEN 0 ELSE list_dot_product(a.v, b.v) / (a.nv * b.nv) END) AS c FROM emb a JOIN emb b ON a.vec_id <> b.vec_id),
+ lost AS (SELECT qi, CASE WHEN bool_or(id NOT IN (SELECT id FROM idx)) THEN 'unknown-id' END AS reason FROM hits GROUP BY qi),
+ steps AS (SELECT *, lead(score) OVER (PARTITION BY qi ORDER BY rank) AS after FROM hits),
+ odd AS (SELECT qi, CASE WHEN bool_or(score IS NULL OR isnan(score) OR isinf(score)) THEN 'non-finite' WHEN coalesce(bool_or(score < after - 1e-12), false) THEN 'not-descending' WHEN count(*) >= 2 AND max(score) - min(score) <= 1e-9 THEN 'tied-scores' END AS reason FROM steps GROUP BY qi),
+ c AS (SELECT 0 AS ord, 'ingest' AS stage, CASE WHEN (SELECT count(*) FROM docs) = 0 THEN 'no-docs' WHEN (SELECT count(*) FROM docs WHERE trim(text) <> '') = 0 THEN 'no-text' END AS reason
+  UNION ALL SELECT 1, 'index', CASE WHEN (SELECT count(*) FROM idx) <> (SELECT count(*) FROM docs) THEN 'count-mismatch' WHEN (SELECT count(DISTINCT id) FROM idx) <> (SELECT count(*) FROM idx) THEN 'duplicate-ids' WHEN (SELECT count(*) FROM idx WHERE id NOT IN (SELECT id FROM docs)) > 0 THEN 'dangling-ids' END
+  UNION ALL SELECT 2, 'embed', CASE WHEN (SELECT count(*) FROM emb) <> (SELECT count(*) FROM idx) THEN 'shape-mismatch' WHEN (SELECT count(*) FROM emb WHERE len(v) <> 64) > 0 THEN 'width-mismatch' WHEN (SELECT count(*) FROM emb WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0) > 0 THEN 'non-finite' WHEN (SELECT count(*) FROM emb WHERE nv < 1e-6) > 0 THEN 'zero-norm' WHEN (SELECT c FROM pairs) > 0.98 THEN 'anisotropic' END
+  UNION ALL SELECT 3, 'retrieve', (SELECT reason FROM lost WHERE reason IS NOT NULL ORDER BY qi LIMIT 1)
+  UNION ALL SELECT 4, 'score', (SELECT reason FROM odd WHERE reason IS NOT NULL ORDER BY qi LIMIT 1))"""
+
+
+@query("liveness_stages", f"{_CHECKS}, dead AS (SELECT coalesce(min(ord), 99) AS d FROM c WHERE reason IS NOT NULL) SELECT ord, stage, CASE WHEN ord < d THEN 'ok' WHEN ord = d THEN 'dead' ELSE 'skipped' END AS status, CASE WHEN ord = d THEN reason END AS reason FROM c, dead")
 def liveness_stages(t: Tables) -> DataFrame:
     return liveness.stage_status(_state(t))
 
 
-@query("first_dead_stage", "SELECT 'index' AS dead_stage, 'dangling-ids' AS reason FROM (SELECT count(*) AS n FROM embeddings WHERE vec_id = 7) WHERE n = 1")
+@query("first_dead_stage", f"{_CHECKS} SELECT arg_min(stage, ord) FILTER (reason IS NOT NULL) AS dead_stage, arg_min(reason, ord) FILTER (reason IS NOT NULL) AS reason FROM c")
 def first_dead_stage(t: Tables) -> DataFrame:
     return liveness.first_dead(_state(t))
 
 
-@query("last_dead_stage", "SELECT 'score' AS dead_stage FROM (SELECT count(*) AS n FROM embeddings WHERE vec_id = 40) WHERE n = 1")
+@query("last_dead_stage", f"{_CHECKS} SELECT arg_max(stage, ord) FILTER (reason IS NOT NULL) AS dead_stage FROM c")
 def last_dead_stage(t: Tables) -> DataFrame:
     return liveness.last_dead(_state(t))
 
@@ -244,7 +259,11 @@ def _probes(t: Tables, live: bool) -> DataFrame:
     return t.embeddings.select("label", F.col("vec_id").alias("pos"), (fault if live else F.transform(v, lambda x: x.cast("double"))).alias("v"))
 
 
-@query("vector_certificate", "SELECT label, CASE label % 5 WHEN 0 THEN 'reproduced' WHEN 1 THEN 'lost-l2-norm' WHEN 2 THEN 'quant-dtype-drift' WHEN 3 THEN 'wrong-weights' ELSE 'dim-mismatch' END AS verdict, count(*) AS probes FROM embeddings GROUP BY label")
+@query("vector_certificate", """WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT *, list_max(list_transform(v, lambda x: abs(x))) / 127.0 AS step FROM e),
+ p AS (SELECT label, vec_id, CAST(v AS FLOAT[]) AS r, CAST(CASE label % 5 WHEN 0 THEN v WHEN 1 THEN list_transform(v, lambda x: x * 3) WHEN 2 THEN list_transform(v, lambda x: round_even(x / step, 0) * step) WHEN 3 THEN list_reverse(v) ELSE v[1:32] END AS FLOAT[]) AS l FROM s),
+ d AS (SELECT *, CAST(r AS DOUBLE[]) AS rd, CAST(l AS DOUBLE[]) AS ld FROM p),
+ q AS (SELECT *, CASE WHEN len(l) = len(r) THEN list_dot_product(ld, rd) / (sqrt(list_dot_product(ld, ld)) * sqrt(list_dot_product(rd, rd))) END AS c, sqrt(list_dot_product(ld, ld)) AS nl FROM d)
+ SELECT label, CASE WHEN NOT arg_min(len(l) = len(r), vec_id) THEN 'dim-mismatch' WHEN bool_and(l = r) THEN 'reproduced' WHEN avg(c) >= 0.98 AND max(abs(nl - 1)) > 0.05 THEN 'lost-l2-norm' WHEN avg(c) >= 0.98 THEN 'quant-dtype-drift' ELSE 'wrong-weights' END AS verdict, count(*) AS probes FROM q GROUP BY label""")
 def vector_certificate(t: Tables) -> DataFrame:
     n = t.embeddings.groupBy("label").agg(F.count("*").alias("probes"))
     return certificate.compare(_probes(t, False), _probes(t, True), ["label"]).join(n, "label").select("label", "verdict", "probes")
