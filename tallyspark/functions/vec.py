@@ -42,10 +42,9 @@ def quantized(a: Column, bits: int) -> Column:
 
 def md5_slots(tokens: Column) -> Column:
     """(bucket 0..255, sign) of each token: the family that plain SQL can repeat anywhere."""
-    h = lambda t: F.md5(t)
-    bucket = lambda t: F.conv(F.substring(h(t), 1, 2), 16, 10).cast("int")
-    sign = lambda t: F.when(F.conv(F.substring(h(t), 3, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    return F.transform(tokens, lambda t: F.struct(bucket(t).alias("bucket"), sign(t).alias("sign")))
+    digit = lambda h, k: F.instr(F.lit("0123456789abcdef"), F.substring(h, k, 1)) - 1
+    hashes = F.transform(tokens, lambda t: F.md5(t))  # once for each token
+    return F.transform(hashes, lambda h: F.struct((digit(h, 1) * 16 + digit(h, 2)).alias("bucket"), F.when(digit(h, 3) % 2 == 0, 1).otherwise(-1).alias("sign")))
 
 
 def token_slot(token: str, family: str, dim: int, seed: int) -> tuple[int, int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as T
@@ -60,20 +60,22 @@ def table_score(lines: Column) -> Column:
 
 
 def order_margins(line_vectors: DataFrame) -> DataFrame:
-    """(id, margin) from (id, line, n, bucket, w): mean cosine of neighbours less that of lines two apart; from four lines on."""
-    line_vectors = line_vectors.persist()  # read five times below; lost blocks are computed anew
-    nn = line_vectors.groupBy("id", "line").agg(F.sum(F.col("w") * F.col("w")).alias("nn"))
-    n = line_vectors.groupBy("id").agg(F.first("n").alias("n")).where("n >= 4")
-
-    def lag(k: int) -> DataFrame:
-        a = line_vectors.select("id", "line", "bucket", "w")
-        b = line_vectors.select("id", (F.col("line") - k).alias("line"), "bucket", F.col("w").alias("w2"))
-        dots = a.join(b, ["id", "line", "bucket"]).groupBy("id", "line").agg(F.sum(F.col("w") * F.col("w2")).alias("dot"))
-        m = nn.select("id", (F.col("line") - k).alias("line"), F.col("nn").alias("nn2"))
-        cos = dots.join(nn, ["id", "line"]).join(m, ["id", "line"]).select("id", (F.col("dot") / F.sqrt(F.col("nn").cast("double") * F.col("nn2").cast("double"))).alias("c"))
-        return cos.groupBy("id").agg(F.sum("c").alias(f"s{k}"))
-
-    both = n.join(lag(1), "id", "left").join(lag(2), "id", "left")
+    """(id, margin) from (id, line, n, bucket, w): mean cosine of neighbours less that of lines two apart; from four lines on.
+
+    A line's vector is one row; its neighbours come by one window over the document. Lines without words have no row
+    and are like no other.
+    """
+    line = line_vectors.where("n >= 4").groupBy("id", "line").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"), F.sum(F.col("w") * F.col("w")).alias("nn"))
+    w = Window.partitionBy("id").orderBy("line")
+    here = F.struct("line", "m", "nn")
+    near = line.select("id", "n", here.alias("a"), F.lead(here, 1).over(w).alias("b"), F.lead(here, 2).over(w).alias("c"))
+
+    def cosine(x: Column) -> Column:
+        dot = F.aggregate(F.map_entries("a.m"), F.lit(0).cast("bigint"), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at(x["m"], e["key"]), F.lit(0)))
+        return dot / F.sqrt(F.col("a.nn").cast("double") * x["nn"].cast("double"))
+
+    at = lambda x, k: F.when(x["line"] == F.col("a.line") + k, cosine(x))
+    both = near.groupBy("id").agg(F.first("n").alias("n"), F.sum(at(F.col("b"), 1)).alias("s1"), F.sum(F.coalesce(at(F.col("b"), 2), at(F.col("c"), 2))).alias("s2"))
     return both.select("id", (F.coalesce("s1", F.lit(0.0)) / (F.col("n") - 1) - F.coalesce("s2", F.lit(0.0)) / (F.col("n") - 2)).alias("margin"))
 
 

@@ -49,7 +49,7 @@ def reachability(chunks: DataFrame, spans: DataFrame, slots, k: int = K, window:
     q = queries(chunks, spans, window).withColumn("qid", F.concat_ws(":", "id", "kind", "start"))
     index = retrieval.sparse(chunks, ["id"], slots(T.tokens(F.col("text"))))
     qv = retrieval.sparse(q.select("qid", "query"), ["qid"], slots(T.tokens(F.col("query"))))
-    ranked = retrieval.top_k(retrieval.scores(qv, index, "qid", ["id"]), "qid", ["id"], k).select("qid", "id", "rank")
+    ranked = retrieval.best_k(qv, index, "qid", ["id"], k).select("qid", "id", "rank")
     out = q.join(ranked, ["qid", "id"], "left").withColumn("rank", F.coalesce("rank", F.lit(-1)))
     return out.withColumn("reachable", F.col("rank") > 0).drop("qid")
 
@@ -78,7 +78,7 @@ def recall_curve(chunks: DataFrame, scored: DataFrame, gold: DataFrame, slots, k
         held = chunks if spans is None else redact(chunks, spans)
         index = retrieval.sparse(held, ["id"], slots(T.tokens(F.col("text"))))
         q = retrieval.sparse(gold.select("qid", "query"), ["qid"], slots(T.tokens(F.col("query"))))
-        ranked = retrieval.top_k(retrieval.scores(q, index, "qid", ["id"]), "qid", ["id"], max(ks))
+        ranked = retrieval.best_k(q, index, "qid", ["id"], max(ks))
         for k in ks:
             row = retrieval.recall_at_k(ranked.where(F.col("rank") <= k), gold, "qid", "id").select(F.lit(policy).alias("policy"), F.lit(k).alias("k"), "recall")
             out = row if out is None else out.unionByName(row)

@@ -36,9 +36,19 @@ def norms(vectors: DataFrame, key: list[str]) -> DataFrame:
     return vectors.groupBy(*key).agg(F.sum(F.col("w") * F.col("w")).alias("nn"))
 
 
+#: Entries of query vectors that are sent to every chunk at once; beyond, queries and chunks meet by bucket.
+BROADCAST_ENTRIES = 2_000_000
+
+
 def scores(queries: DataFrame, chunks: DataFrame, query_key: str, chunk_key: list[str]) -> DataFrame:
-    """Cosine of every query with every chunk it shares a bucket with: a bucket equi-join that sums before it divides."""
+    """Cosine of every query with every chunk it shares a bucket with: a bucket equi-join that sums before it divides.
+
+    Queries of a checked size are broadcast, so that a chunk's products are summed where its rows are and only one row
+    for each query and chunk is shuffled; larger ones join by bucket.
+    """
     a = queries.select(query_key, "bucket", F.col("w").alias("qw"))
+    if a.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES:
+        a = F.broadcast(a)
     dots = a.join(chunks, "bucket").groupBy(query_key, *chunk_key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     qn = norms(queries, [query_key]).withColumnRenamed("nn", "qn")
     cn = norms(chunks, chunk_key).withColumnRenamed("nn", "cn")
@@ -46,12 +56,24 @@ def scores(queries: DataFrame, chunks: DataFrame, query_key: str, chunk_key: lis
     return both.withColumn("sim", F.col("dot") / F.sqrt(F.col("qn").cast("double") * F.col("cn").cast("double")))
 
 
-def top_k(scored: DataFrame, query_key: str, position: list[str], k: int) -> DataFrame:
-    """The k best of each query with rank; ties by position."""
+def top_k(scored: DataFrame, query_key: str, position: list[str], k: int, without: DataFrame | None = None) -> DataFrame:
+    """The k best of each query with rank; ties by position. ``without`` (query_key, position...) are never returned.
+
+    Each map task keeps its own k best of a query before the shuffle (the planner's limit on a window's rank).
+    """
+    if without is not None:
+        scored = scored.join(without.select(query_key, *position).distinct(), [query_key, *position], "left_anti")
     w = Window.partitionBy(query_key).orderBy(F.desc("sim"), *position)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def argmax(scored: DataFrame, query_key: str, position: str) -> DataFrame:
+    """The first of the best of each query, by one aggregate."""
+    best = scored.groupBy(query_key).agg(F.max(F.col("sim")).alias("top"))
+    at = scored.join(best, query_key).where(F.col("sim") == F.col("top"))
+    return at.groupBy(query_key).agg(F.min(position).alias(position), F.max("sim").alias("sim"))
+
+
 def top_docs(scored: DataFrame, query_key: str, doc: str, position: str, k: int) -> DataFrame:
     """The k best documents of each query: each by its best chunk, the first of equals."""
     best = scored.groupBy(query_key, doc).agg(F.max(F.struct("sim", (-F.col(position)).alias("neg"))).alias("b"))
@@ -59,17 +81,118 @@ def top_docs(scored: DataFrame, query_key: str, doc: str, position: str, k: int)
     return top_k(flat, query_key, ["chunk_no", doc], k)
 
 
+def best_k(queries: DataFrame, chunks: DataFrame, query_key: str, chunk_key: list[str], k: int, doc: str | None = None) -> DataFrame:
+    """(query_key, chunk_key..., sim, rank) of ``top_k`` over ``scores``; with ``doc``, (query_key, doc, chunk_no, sim, rank) of ``top_docs``.
+
+    Queries of a checked size travel to the chunks as one matrix. A batch of chunks meets it in one product, and only
+    its k best of each query leave it: no pair is ever a row. Larger query sets go by ``scores``.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    position = next((c for c in chunk_key if c != doc), doc)
+    size = queries.agg(F.countDistinct(query_key).alias("n"), F.countDistinct("bucket").alias("width"), F.count("*").alias("entries")).first()
+    if size["n"] * size["width"] > BLOCK_NUMBERS or size["entries"] > BROADCAST_ENTRIES:
+        scored = scores(queries, chunks, query_key, chunk_key)
+        return top_docs(scored, query_key, doc, position, k) if doc else top_k(scored, query_key, chunk_key, k)
+    held = queries.select(query_key, "bucket", "w").toArrow().combine_chunks()
+    ids = pc.unique(held[query_key].combine_chunks()) if held.num_rows else held[query_key].combine_chunks()
+    buckets = np.unique(held["bucket"].to_numpy())
+    q = np.zeros((len(ids), len(buckets)))
+    np.add.at(q, (np.asarray(pc.index_in(held[query_key].combine_chunks(), ids)), np.searchsorted(buckets, held["bucket"].to_numpy())), held["w"].to_numpy())
+    shared = queries.sparkSession.sparkContext.broadcast((ids, buckets, q))
+    rows = chunks.groupBy(*chunk_key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"), F.sum(F.col("w") * F.col("w")).alias("nn"))
+    kinds = dict(chunks.dtypes) | dict(queries.dtypes)
+
+    def best(batches):
+        ids, buckets, q = shared.value
+        if not len(ids):
+            return
+        own, has, step = (q * q).sum(1), (q != 0).astype(float), max(64, BLOCK_NUMBERS // len(ids))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                m = batch.column("m")
+                keys, values = m.keys.to_numpy(), m.items.to_numpy()
+                row = np.repeat(np.arange(len(m)), np.diff(m.offsets.to_numpy()))
+                keys, values = keys[m.offsets[0].as_py() : m.offsets[-1].as_py()], values[m.offsets[0].as_py() : m.offsets[-1].as_py()]
+                at = np.minimum(np.searchsorted(buckets, keys), len(buckets) - 1)
+                known = buckets[at] == keys
+                c = np.zeros((len(m), len(buckets)))
+                c[row[known], at[known]] = values[known]
+                sims = (q @ c.T) / np.sqrt(own[:, None] * batch.column("nn").to_numpy().astype(float)[None, :])
+                sims[has @ (c != 0).T.astype(float) == 0] = -np.inf  # no bucket in common
+                order = [position, doc] if doc else chunk_key
+                ranks = [np.asarray(pc.rank(batch.column(n), "ascending", tiebreaker="dense")).astype(np.int64) for n in order]
+                found = np.lexsort((*[np.broadcast_to(r, sims.shape) for r in reversed(ranks)], -sims), axis=1)
+                qs, cs = [], []
+                for j, line in enumerate(found):
+                    line = line[sims[j, line] > -np.inf]
+                    if doc:  # of each document the first
+                        line = line[np.sort(np.unique(ranks[1][line], return_index=True)[1])]
+                    line = line[:k]
+                    qs.append(np.full(len(line), j)), cs.append(line)
+                qs, cs = np.concatenate(qs), np.concatenate(cs)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(qs)), *[batch.column(n).take(pa.array(cs)) for n in chunk_key], pa.array(sims[qs, cs])], [query_key, *chunk_key, "sim"])
+
+    fields = ", ".join(f"{n} {kinds[n]}" for n in [query_key, *chunk_key])
+    scored = rows.mapInArrow(best, f"{fields}, sim double")
+    return top_docs(scored, query_key, doc, position, k) if doc else top_k(scored, query_key, chunk_key, k)
+
+
 def recall_at_k(ranked: DataFrame, gold: DataFrame, query_key: str, item: str) -> DataFrame:
     """One row: share of gold rows found; 1.0 without queries."""
     hit = gold.join(ranked.select(query_key, item, F.lit(1).alias("hit")).distinct(), [query_key, item], "left")
     return hit.agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)).alias("recall"))
 
 
+#: Numbers of query vectors that one pass holds (8 bytes each); more queries are taken in several passes.
+BLOCK_NUMBERS = 4_000_000
+
+
 def dense_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """(qid, id, sim, rank) over dense arrays; queries are few (their count is checked by the caller) and broadcast."""
-    pairs = items.select("id", F.col("v").alias("iv")).crossJoin(F.broadcast(queries.select("qid", F.col("v").alias("qv"))))
-    scored = pairs.select("qid", "id", F.round(vec.cosine(F.col("qv"), F.col("iv")), 9).alias("sim"))
-    return top_k(scored, "qid", ["id"], k)
+    """(qid, id, sim, rank) over dense arrays (a zero vector is like nothing); ties by id.
+
+    The query vectors travel to the items in blocks of a checked size. Each batch of items meets a block in one matrix
+    product, and only a batch's k best of each query leave it, so no pair is ever a row.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = items.sparkSession
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).first()
+    blocks = max(1, -(-size["n"] * size["width"] // BLOCK_NUMBERS))
+    kinds = dict(queries.dtypes)["qid"], dict(items.dtypes)["id"]
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        rows = np.array(column.to_pylist(), float).reshape(len(column), -1)
+        length = np.sqrt((rows * rows).sum(1, keepdims=True))
+        return rows / np.where(length == 0, 1, length)
+
+    out = None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        held = part.select("qid", "v").toArrow().combine_chunks()  # a block: at most BLOCK_NUMBERS numbers, about
+        if not held.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((held["qid"].combine_chunks(), matrix(held["v"].combine_chunks())))
+
+        def best(batches, shared=shared):
+            qids, q = shared.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 2048):
+                    ids, sims = batch.column("id").slice(lo, 2048), np.round(q @ matrix(batch.column("v").slice(lo, 2048)).T, 9)
+                    rank = np.asarray(pa.compute.rank(ids, "ascending", tiebreaker="dense"))
+                    take = np.lexsort((np.broadcast_to(rank, sims.shape), -sims), axis=1)[:, :k]
+                    rows, columns = np.repeat(np.arange(len(q)), take.shape[1]), take.reshape(-1)
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(rows)), ids.take(pa.array(columns)), pa.array(sims[rows, columns])], ["qid", "id", "sim"])
+
+        scored = items.select("id", "v").mapInArrow(best, f"qid {kinds[0]}, id {kinds[1]}, sim double")
+        out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        out = spark.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, sim double")
+    return top_k(out, "qid", ["id"], k)
 
 
 # ---------------------------------------------------------------- metrics over ranked lists

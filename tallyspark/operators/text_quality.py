@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,23 +19,64 @@ def _prepared(text: Column) -> Column:
 
 
 def trigrams(docs: DataFrame) -> DataFrame:
-    """(id, ctx, nxt, n): character trigram counts of (id, text)."""
+    """(id, grams): each text of (id, text) with its character trigrams and their counts, in one row."""
+    import pyarrow as pa
+
     p = docs.where("text is not null").select("id", _prepared(F.col("text")).alias("s"))
-    starts = F.sequence(F.lit(1), F.length("s") - 2)
-    grams = p.select("id", F.explode(T.let(F.split("s", ""), lambda c: F.transform(starts, lambda i: F.array_join(F.slice(c, i, F.lit(3)), "")))).alias("g"))
-    return grams.groupBy("id", F.substring("g", 1, 2).alias("ctx"), F.substring("g", 3, 1).alias("nxt")).agg(F.count("*").alias("n"))
+
+    def count(batches):
+        for batch in batches:
+            made = []
+            for s in batch.column("s").to_pylist():
+                made.append(list(Counter(map("".join, zip(s, s[1:], s[2:], strict=False))).items()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.map_(pa.string(), pa.int64()))], ["id", "grams"])
+
+    return p.mapInArrow(count, f"id {dict(p.dtypes)['id']}, grams map<string,bigint>")
 
 
 def train(grams: DataFrame) -> DataFrame:
-    """(ctx, nxt, count): the model; it grows with the alphabet, not with the texts."""
-    return grams.groupBy("ctx", "nxt").agg(F.sum("n").alias("count"))
+    """(gram, count): the model; it grows with the alphabet, not with the texts."""
+    return grams.select(F.explode("grams").alias("gram", "n")).groupBy("gram").agg(F.sum("n").alias("count"))
+
+
+#: Trigrams of a model that is sent to every task; a larger one is joined.
+BROADCAST_GRAMS = 2_000_000
 
 
 def perplexity(grams: DataFrame, model: DataFrame) -> DataFrame:
-    """(id, ppl): mean negative log probability with add-one smoothing over the model's vocabulary."""
-    context = model.groupBy("ctx").agg(F.sum("count").alias("total"))
-    v = model.agg(F.greatest(F.countDistinct("nxt"), F.lit(1)).alias("v"))
-    both = grams.join(model, ["ctx", "nxt"], "left").join(context, "ctx", "left").crossJoin(F.broadcast(v))
+    """(id, ppl): mean negative log probability with add-one smoothing over the model's vocabulary.
+
+    A model of a checked size is held by each worker and each text is scored in its row; the texts are never shuffled.
+    """
+    import pyarrow as pa
+
+    rows = model.limit(BROADCAST_GRAMS + 1).collect()
+    if len(rows) > BROADCAST_GRAMS:
+        return _joined_perplexity(grams, model)
+    total: Counter = Counter()
+    for r in rows:
+        total[r["gram"][:2]] += r["count"]
+    size = max(1, len({r["gram"][2] for r in rows}))
+    shared = grams.sparkSession.sparkContext.broadcast(({r["gram"]: -math.log((r["count"] + 1) / (total[r["gram"][:2]] + size)) for r in rows}, {c: -math.log(1 / (n + size)) for c, n in total.items()}, -math.log(1 / size)))
+
+    def score(batches):
+        known, context, other = shared.value
+        for batch in batches:
+            out = []
+            for held in batch.column("grams").to_pylist():
+                n = sum(c for _, c in held)
+                lost = sum(c * (known[g] if g in known else context.get(g[:2], other)) for g, c in held)
+                out.append(lost / n if n else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.float64())], ["id", "ppl"])
+
+    return grams.mapInArrow(score, f"id {dict(grams.dtypes)['id']}, ppl double").where("ppl is not null")
+
+
+def _joined_perplexity(grams: DataFrame, model: DataFrame) -> DataFrame:
+    context = model.groupBy(F.substring("gram", 1, 2).alias("ctx")).agg(F.sum("count").alias("total"))
+    v = model.agg(F.greatest(F.countDistinct(F.substring("gram", 3, 1)), F.lit(1)).alias("v"))
+    rows = grams.select("id", F.explode("grams").alias("gram", "n")).withColumn("ctx", F.substring("gram", 1, 2))
+    both = rows.join(model, "gram", "left").join(context, "ctx", "left").crossJoin(F.broadcast(v))  # one row
     lp = -F.ln((F.coalesce("count", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + F.col("v")))
     return both.groupBy("id").agg((F.sum(F.col("n") * lp) / F.sum("n")).alias("ppl"))
 

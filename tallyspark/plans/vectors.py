@@ -44,7 +44,7 @@ def _bench_vectors(t: Tables) -> DataFrame:
 
 
 def _top(t: Tables, k: int) -> DataFrame:
-    return retrieval.top_k(retrieval.scores(_bench_vectors(t), _doc_vectors(t), "qid", ["id"]), "qid", ["id"], k)
+    return retrieval.best_k(_bench_vectors(t), _doc_vectors(t), "qid", ["id"], k)
 
 
 @query("cosine_topk", f"{_TOPK} SELECT qid, id, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
@@ -66,7 +66,7 @@ def doc_topk(t: Tables) -> DataFrame:
     """Passages of four tokens, collapsed to documents."""
     chunks = t.documents.select("doc_id", F.posexplode(T.four_token_chunks(F.col("text"))).alias("chunk_no", "chunk"))
     vectors = retrieval.sparse(chunks, ["doc_id", "chunk_no"], vec.md5_slots(T.tokens(F.col("chunk"))))
-    ranked = retrieval.top_docs(retrieval.scores(_bench_vectors(t), vectors, "qid", ["doc_id", "chunk_no"]), "qid", "doc_id", "chunk_no", 3)
+    ranked = retrieval.best_k(_bench_vectors(t), vectors, "qid", ["doc_id", "chunk_no"], 3, doc="doc_id")
     return ranked.select("qid", "doc_id", F.round("sim", 6).alias("sim"), "rank")
 
 
