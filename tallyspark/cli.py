@@ -65,7 +65,31 @@ def cite(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0 if found.where("status <> 'RESOLVED'").isEmpty() else 1
 
 
+def regression(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Passes unless the whole interval of the pooled nDCG difference lies below the margin."""
+    from pyspark.sql import functions as F
+
+    from tallyspark.functions import text as T
+    from tallyspark.functions import vec
+    from tallyspark.operators import reindex, retrieval
+
+    docs = files.json_list(spark, a.docs, "text").select(F.col("pos").alias("id"), "text")
+    probes = retrieval.mine_probes(docs).select(F.col("id").alias("qid"), "query")
+    oracle = reindex.similarity_oracle(docs, vec.blake_slots(T.tokens(F.col("text")), "keyed128", 256, vec.ORACLE_SEED))
+    old, new = (reindex.search(docs, probes, *_index(x)).drop("chunk_no") for x in (a.old, a.new))
+    verdict = reindex.gate(old, new, oracle, "qid", "id")
+    _print(verdict)
+    return 0 if verdict.first()["passed"] else 1
+
+
+def _index(given: str) -> tuple[str, str, int, int]:
+    """chunker:dim:seed, such as whole:256:1."""
+    chunker, dim, seed = given.split(":")
+    return chunker, "keyed64", int(dim), int(seed)
+
+
 COMMANDS = {
+    "reindex": (regression, ["docs", "old", "new"], []),
     "sync": (sync, ["current", "previous", "edges", "live", "cached"], []),
     "coverage": (audit, ["registry", "mentions", "own", "others"], ["previous"]),
     "conservation": (conserve, ["source", "chunks"], ["previous"]),

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-DEFAULT_SEED = 0xC0FFEE
+DEFAULT_SEED, ORACLE_SEED = 0xC0FFEE, 0xBADCAFE
 
 
 def dot(a: Column, b: Column) -> Column:

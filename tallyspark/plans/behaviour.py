@@ -144,6 +144,19 @@ def poison_fraction(t: Tables) -> DataFrame:
     return graph.poison_fraction(held, x, F.col("home")).withColumn("poison", F.round("poison", 9))
 
 
+@query("graph_components", f"WITH RECURSIVE e AS ({_EDGES}), adj AS (SELECT u AS id, v AS nb FROM e UNION SELECT v, u FROM e), r AS (SELECT s_suppkey AS id, s_suppkey AS c FROM supplier UNION SELECT adj.nb, r.c FROM r JOIN adj ON adj.id = r.id) SELECT id, min(c) AS component FROM r GROUP BY id")
+def graph_components(t: Tables) -> DataFrame:
+    return graph.components(_nodes(t), _edges(t))
+
+
+@query("graph_baselines", f"""{_ADJ}, c AS (SELECT s_nationkey AS community, count(*) AS size FROM supplier GROUP BY 1), i AS (SELECT a.s_nationkey AS community, count(*) AS n FROM e JOIN supplier a ON a.s_suppkey = u JOIN supplier b ON b.s_suppkey = v WHERE a.s_nationkey = b.s_nationkey GROUP BY 1),
+ x AS (SELECT 'degree_centrality' AS baseline, CAST(id AS VARCHAR) AS target, CAST(degree AS DOUBLE) AS score FROM deg UNION ALL SELECT 'degree_anomaly', CAST(id AS VARCHAR), CAST(abs(degree - (SELECT median(degree) FROM deg)) AS DOUBLE) FROM deg
+  UNION ALL SELECT 'thin_density', CAST(c.community AS VARCHAR), 1 - CASE WHEN size < 2 THEN 1.0 ELSE coalesce(n, 0) / (size * (size - 1) / 2) END FROM c LEFT JOIN i ON i.community = c.community)
+ SELECT baseline, target, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY baseline ORDER BY score DESC, target) AS INTEGER) AS rank FROM x""")
+def graph_baselines(t: Tables) -> DataFrame:
+    return graph.baseline_ranks(_nodes(t), _edges(t)).withColumn("score", F.round("score", 9))
+
+
 @query("incoherent_parts")
 def incoherent_parts(t: Tables) -> DataFrame:
     """Two-means separation of benchmark items in ten groups: iterative, so without an SQL twin."""

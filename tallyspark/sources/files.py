@@ -86,5 +86,7 @@ def read_snapshot(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 
 def report_lines(df: DataFrame, most: int = 200) -> list[str]:
-    """A small result as text, a line for each row; a report shows at most ``most`` rows."""
-    return [" ".join(f"{k}={v}" for k, v in row.asDict().items()) for row in df.limit(most).collect()]
+    """A result as text, a line for each row; of a longer one the first ``most`` rows, and a last line that says so."""
+    rows = df.limit(most + 1).collect()
+    out = [" ".join(f"{k}={v}" for k, v in row.asDict().items()) for row in rows[:most]]
+    return out if len(rows) <= most else [*out, f"... {df.count() - most} more rows"]
