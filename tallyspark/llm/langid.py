@@ -2,8 +2,8 @@
 
 A text is a TF-IDF vector of hashed byte n-grams (1 to 4 bytes of lower-cased text whose non-letters are
 one space), scaled to unit length. Spherical k-means gives several centroids per language; the language of
-the centroid with the highest cosine wins, and a vector further from it than nearly all of that
-language's training vectors is rejected.
+the centroid with the highest cosine wins, and a vector further from its language's centroids than all but one in
+a thousand of that language's training vectors is rejected.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from .arrowtext import P_BYTE, _inverse, list_array, map_texts, mix, powers, pre
 
 BITS = 12
 SIZES = (1, 2, 3, 4)
-#: Training documents of each language, the first by a hash of the text; languages with fewer than MIN_ROWS teach nothing.
+#: Distinct training texts of each language (the first by a hash of the text) and of all languages, and centroids of all
+#: languages. Every language is learned: with more languages each gets fewer texts and centroids, one at least.
 TRAIN_ROWS = 400
-MIN_ROWS = 3
-#: Languages, the most frequent first.
-MOST_LANGUAGES = 256
+ALL_TRAIN_ROWS = 8_000
 CENTROIDS = 4
+ALL_CENTROIDS = 1024
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -72,19 +72,22 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = TRAIN_ROWS, centroids: int = CENTROIDS, bits: int = BITS) -> dict:
     """Idf weights, centroids, their languages and rejection radii from a bounded sample of each language.
 
-    Rows with a null language or text teach nothing; with no such rows the model knows no language.
+    The sample is drawn among distinct texts, so that copies neither crowd others out nor lose a language: every
+    language with at least one text with a letter is learned. Rows with a null language or text teach nothing; with no
+    such rows the model knows no language. Languages are compared as strings.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
-    sizes = known.groupBy("l").count().where(F.col("count") >= MIN_ROWS).orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
+    lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    known = docs.where(lang.isNotNull() & text.rlike(r"\p{L}")).select(lang.alias("l"), text.alias("t")).withColumn("k", F.xxhash64("t", F.lit(11)))
+    sizes = known.groupBy("l").agg(F.approx_count_distinct("k").alias("texts")).collect()  # a row for each language
     empty = {"idf": np.ones(1 << bits, np.float32), "centroids": np.zeros((0, 1 << bits), np.float32), "langs": [], "radius": np.zeros(0)}
     if not sizes:
         return empty
-    # A text is in the sample if its hash is below its language's share; the share leaves some slack over the bound.
-    share = {r["l"]: min(1.0, 1.5 * rows_per_language / r["count"]) for r in sizes}
-    rate = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("l"))
-    key = F.xxhash64("t", F.lit(11))
-    # Of equal texts one row is enough: copies would crowd out the rest of the sample.
-    sampled = known.where(F.pmod(key, F.lit(1 << 20)) < rate * (1 << 20)).withColumn("k", key).dropDuplicates(["l", "k"])
+    rows_per_language = max(1, min(rows_per_language, ALL_TRAIN_ROWS // len(sizes)))
+    centroids = max(1, min(centroids, ALL_CENTROIDS // len(sizes)))
+    # A text is in the sample if its hash is below its language's share, so copies are in or out together; the share
+    # leaves slack over the bound for the estimate's error.
+    share = docs.sparkSession.createDataFrame([(r["l"], min(1.0, (rows_per_language + 7 * rows_per_language**0.5 + 20) / max(1, r["texts"]))) for r in sizes], "l string, share double")
+    sampled = known.join(F.broadcast(share), "l").where(F.pmod("k", F.lit(1 << 40)) < F.col("share") * (1 << 40)).drop("share").dropDuplicates(["l", "k"])
 
     def make():
         def fn(texts: pa.Array) -> list:
@@ -115,7 +118,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_
         own = x[of == lang]
         c = spherical_kmeans(own, centroids)
         found_c.append(c), names.extend([lang] * len(c))
-        radius += [float(np.quantile((own @ c.T).max(1), 0.001)) * 0.5] * len(c)
+        radius += [float(np.quantile((own @ c.T).max(1), 0.001))] * len(c)
     return {"idf": idf, "centroids": np.concatenate(found_c).astype(np.float32), "langs": names, "radius": np.array(radius)}
 
 
@@ -128,7 +131,9 @@ def identify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "tex
 
     One row for each input row. A text that is null or has no letter, and any text under a model without
     languages, is ``und`` with score 0 and rejected. ``rejected`` also marks texts beyond the radius of their
-    language; callers that want an open set read those as ``und``.
+    language; callers that want an open set read those as ``und``. Of equally near centroids the first counts, in the
+    model's order. Repeated rows and ids are rows like any others, whole texts are read however long, and a kept column
+    named like an output (in any case) gives way to it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats for each of a bounded number of centroids
 
@@ -148,5 +153,6 @@ def identify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "tex
 
     letter = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
     taken = [c for c in keep if c.lower() not in ("lang_pred", "score", "rejected")]
-    out = map_texts(docs.withColumn("__letter", letter), make, [("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")], [*taken, "__letter"], text_col, chunk_rows=256)
-    return out.select(*[F.col(f"`{c}`") for c in taken], F.when(F.col("__letter"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("__letter"), F.col("score")).otherwise(0.0).alias("score"), (F.col("rejected") | ~F.col("__letter")).alias("rejected"))
+    own = "has_letter_" + "_" * max(map(len, docs.columns))  # longer than any other column's name
+    out = map_texts(docs.withColumn(own, letter), make, [("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")], [*taken, own], text_col, chunk_rows=256)
+    return out.select(*[F.col(f"`{c}`") for c in taken], F.when(F.col(own), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col(own), F.col("score")).otherwise(0.0).alias("score"), (F.col("rejected") | ~F.col(own)).alias("rejected"))
