@@ -31,8 +31,9 @@ END_ID = 1
 GAP = 0.001
 #: One full piece in so many keeps its ids, so that it can be cut into fillers.
 FILLER_SHARE = 8
-#: Rows that one task ranks at once.
+#: Rows that one task ranks at once, about, and the least number of slices that a class is ranked in.
 RANK_ROWS = 100_000
+LEAST_SLICES = 32
 
 
 # ---------------------------------------------------------------- linear program
@@ -208,13 +209,16 @@ def _piece_maker(json_path: str, length: int, end_id: int, share: int):
 # ---------------------------------------------------------------- layout
 
 
-def ranked(df: DataFrame, key: str, order: list[str], rows: int) -> DataFrame:
-    """Adds rank 0.. within the key, however many rows a key has: salted counts, then ranks within a salt."""
-    salts = max(1, -(-rows // RANK_ROWS))
-    df = df.withColumn("salt", F.pmod(F.xxhash64(*order, F.lit(5)), F.lit(salts)))
+def ranked(df: DataFrame, key: str, order: list[str], row: str, rows: int) -> DataFrame:
+    """Adds rank 0.. within the key, however many rows a key has: salted counts, then ranks within a salt.
+
+    ``row`` is a number of the row, which also deals out rows that are equal in ``order``.
+    """
+    salts = max(LEAST_SLICES, -(-rows // RANK_ROWS))
+    df = df.withColumn("salt", F.pmod(F.xxhash64(*order, row), F.lit(salts)))
     counts = df.groupBy(key, "salt").agg(F.count("*").alias("c"))
     before = counts.withColumn("before", F.sum("c").over(Window.partitionBy(key).orderBy("salt")) - F.col("c")).drop("c")
-    inner = F.row_number().over(Window.partitionBy(key, "salt").orderBy(*order)) - 1
+    inner = F.row_number().over(Window.partitionBy(key, "salt").orderBy(*order, row)) - 1
     return df.withColumn("inner", inner).join(before, [key, "salt"]).withColumn("rank", F.col("inner") + F.col("before")).drop("inner", "before", "salt")
 
 
@@ -223,7 +227,9 @@ def pack(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col:
 
     Every id of every row's document (a null text is empty and has the end id alone) lies in exactly one piece;
     pieces of a sequence follow each other without gap from offset 0. Rows that repeat an id are documents
-    of their own. An empty table gives no pieces. ids_crc32 is of the piece's ids as little-endian uint32.
+    of their own. An empty table gives no pieces. ids_crc32 is of the piece's ids as little-endian uint32. Texts are
+    encoded whole, however long; documents of equal length are laid out in the order of their ids' hashes; other
+    columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
@@ -231,7 +237,7 @@ def pack(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col:
     pieces = cut_lineage(source.mapInArrow(_piece_maker(tokenizer_json, length, end_id, share), _PIECE.format(id=kind)))
     # Classes: remainders by length rounded up to units; -1 full pieces that can be cut, -2 other full pieces.
     cls = F.when(F.col("length") < length, F.ceil(F.col("length") / unit)).when(F.col("ids").isNotNull(), -1).otherwise(-2).cast("int")
-    pieces = pieces.withColumn("class", cls)
+    pieces = pieces.withColumn("class", cls).withColumn("row", F.monotonically_increasing_id())  # of the checkpoint, so always the same
     histogram = {r["class"]: r["count"] for r in pieces.groupBy("class").count().collect()}  # at most length/unit + 2 rows
     if not histogram:
         return pieces.select(F.col("id").alias(id_col), "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
@@ -243,8 +249,8 @@ def pack(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col:
             used[c] += n * a
         sequence += n
     order = ["id", "start", "crc", "doc_tokens"]
-    placed = ranked(pieces, "class", order, sum(histogram.values()))
-    placed = cut_lineage(placed.drop("ids").withColumn("cut", F.col("class") == -1))
+    placed = ranked(pieces.drop("ids"), "class", order, "row", sum(histogram.values()))
+    placed = cut_lineage(placed.withColumn("cut", F.col("class") == -1))
     rest = placed.where("class > 0")
     grid = spark.createDataFrame(layout or [(0, 0, 0, 1, 0)], "class int, low bigint, high bigint, per bigint, first bigint")
     hit = (F.col("p.class") == F.col("g.class")) & (F.col("p.rank") >= F.col("g.low")) & (F.col("p.rank") < F.col("g.high"))
@@ -276,10 +282,8 @@ def pack(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col:
     if tail:
         cuts = cuts.unionByName(spark.createDataFrame(tail, "sequence_id bigint, filler bigint, `from` bigint, n bigint, offset bigint"))
     sequence += len(tail)
-    fillers = placed.where(F.col("cut") & (F.col("rank") < taken)).select(*order, F.col("rank").alias("filler"))
-    bodies = pieces.where("class = -1").select(*order, "ids").dropDuplicates(order)
-    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"b.{c}")) for c in order]
-    fillers = fillers.alias("f").join(bodies.alias("b"), same).select(*[F.col(f"f.{c}").alias(c) for c in order], "filler", "ids")
+    fillers = placed.where(F.col("cut") & (F.col("rank") < taken)).select(*order, "row", F.col("rank").alias("filler"))
+    fillers = fillers.join(pieces.where("class = -1").select("row", "ids"), "row")
     cut = cuts.join(fillers, "filler").select(
         "id", (F.col("start") + F.col("from")).alias("start"), F.col("n").alias("length"), F.expr("crc32(substring(ids, cast(4 * `from` + 1 as int), cast(4 * n as int)))").alias("crc"), "doc_tokens", "sequence_id", "offset"
     )
