@@ -20,6 +20,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The pseudonyms' key, from the session; the value for want of one is public and fit for demonstrations only."""
+    return spark.conf.get("tallyspark.pii.key", "demonstration")
+
+
 def fold(n: int, doc_id: str = "doc_id") -> F.Column:
     """crc32 of the id as text, modulo n; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % n, F.lit(0))
@@ -40,7 +45,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,7 +209,7 @@ NOT_PRIVATE = ["2023-02-30", "666-45-6789", "4041894974608796", "300.1.2.3", "DE
 def test_pii_pseudonyms_round_trip(spark, empty):
     rows = [(i, f"see {v}, and {v}.", f"n{i}") for i, v in enumerate(PRIVATE + NOT_PRIVATE)] + [(90, None, None), (91, "", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_replaced string")
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "test key").collect()}
     for i, v in enumerate(PRIVATE):
         parts = re.fullmatch(r"see (.*), and (.*)\.", got[i].text)
         assert parts[1] == parts[2] != v and len(parts[1]) == len(v) or "." in v and v[0].isdigit()
@@ -217,9 +217,9 @@ def test_pii_pseudonyms_round_trip(spark, empty):
     for i, v in enumerate(NOT_PRIVATE, len(PRIVATE)):
         assert got[i].text == f"see {v}, and {v}." and got[i].n_replaced == 0
     assert got[90].text is None and got[91].text == ""
-    back = {r.doc_id: r.text for r in pii.pseudonymise(pii.pseudonymise(df), back=True).collect()}
+    back = {r.doc_id: r.text for r in pii.pseudonymise(pii.pseudonymise(df, "test key"), "test key", back=True).collect()}
     assert back == {r[0]: r[1] for r in rows}
-    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(empty, "test key").count() == 0
     digits = re.sub(r"\D", "", got[10].text.split(",")[0])
     total = sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits))))
     assert total % 10 == 0 and digits[0] == "4"
@@ -227,7 +227,7 @@ def test_pii_pseudonyms_round_trip(spark, empty):
 
 def test_pii_is_a_permutation(spark):
     df = spark.range(3000).select(F.format_string("%03d-%02d-%04d", F.col("id") % 600 + 1, F.lit(7), F.col("id") + 1).alias("text"))
-    got = pii.pseudonymise(df)
+    got = pii.pseudonymise(df, "test key")
     assert got.select("text").distinct().count() == 3000
     assert got.where(~F.col("text").rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$")).count() == 0
     plan = got._jdf.queryExecution().toString()
