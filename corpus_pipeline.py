@@ -10,29 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, ngram_join, packing, pii, quality
-from tallyspark.llm.queries import fold, table, tokenizer_path
+from tallyspark.llm.queries import fold, pii_key, table, tokenizer_path
 
 #: SQL can express neither the classifier nor the packing; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a predicted quality of 1; the model learns from the labels outside fold 0."""
+    """Documents with a predicted quality of 1; the model learns from the labels outside fold 0.
+
+    Null and empty texts have no features and are judged by the bias alone; repeated rows are judged alike.
+    Without labels every score is 0.5, above the threshold, and all stay.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
-    scored = quality.score(docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns}), model, [f"d_{c}" for c in docs.columns], "d_text")
+    scored = quality.score(_own(docs), model, [f"d_{c}" for c in docs.columns], "d_text")
     return scored.where("predicted = 1").select(*[F.col(f"`d_{c}`").alias(c) for c in docs.columns])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the least id; rows that share an id go together."""
-    links = ngram_join.link(docs)
-    kept = links.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One document of each class of near duplicates, the one with the least id (a null id before all others).
+
+    Of rows that share this id the one whose text has the least hash stays, once. Null, empty and wordless texts are no
+    copies of anything and stay.
+    """
+    return ngram_join.one_of_each_class(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without contaminated documents; fewer benchmark words than that are cut out of the text."""
-    own = docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns})
+    """Without contaminated documents; fewer benchmark words than that are cut out of the text.
+
+    Null and empty texts have no hit and stay as they are, as does everything where the benchmark is empty; repeated
+    rows are cut alike.
+    """
+    own = _own(docs)
     found = decontaminate.find_contamination(own, table(spark, sf_dir, "benchmark"), own.columns, "d_text")
     clean = found.where(~decontaminate.contaminated())
     text = F.when(F.col("n_hit") > 0, decontaminate.excise(F.col("d_text"), F.col("spans"))).otherwise(F.col("d_text"))
@@ -41,9 +51,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Private values replaced by pseudonyms of the same format."""
-    own = docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns}).withColumn("new_text", F.col("d_text"))
-    return _with_text(pii.pseudonymise(own, "new_text"), docs.columns)
+    """Private values replaced by pseudonyms of the same format; null and empty texts stay, repeated rows change alike."""
+    own = _own(docs).withColumn("new_text", F.col("d_text"))
+    return _with_text(pii.pseudonymise(own, pii_key(spark), "new_text"), docs.columns)
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """All columns under names that no operator's output has."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns])
 
 
 def _with_text(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -54,7 +69,7 @@ def _with_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences. A null or empty text is the end id alone; repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path())
 
 
