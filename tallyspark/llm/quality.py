@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrowtext import LOWER, NONSPACE, doc_of, list_array, map_texts, mix, ngrams, text_buffers, words
+from .arrowtext import LOWER, NONSPACE, cut_lineage, doc_of, list_array, map_texts, mix, ngrams, text_buffers, words
 
 BITS = 18
-#: Labelled documents that training may hold on the driver (with about 10 kB of features each).
+#: Labelled documents, and features of these in all, that training may hold on the driver (12 bytes a feature).
 TRAIN_ROWS = 4000
+TRAIN_FEATURES = 8_000_000
 THRESHOLD = 0.3
 
 
@@ -73,15 +74,16 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epoch
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", most_rows: int = TRAIN_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Weights from at most ``most_rows`` labelled documents, the first in the order of a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", most_rows: int = TRAIN_ROWS, most_features: int = TRAIN_FEATURES, bits: int = BITS) -> tuple[np.ndarray, float]:
+    """Weights from at most ``most_rows`` labelled ids, the first in the order of a hash of the id (of any type).
 
-    Rows with a null id, label or text teach nothing; a repeated label row counts once; with no
-    labelled row every score is 0.5.
+    From these, documents are taken in the same order until they have ``most_features`` features. Rows with a
+    null id, label or text teach nothing; of repeated labels of an id the greatest counts and of repeated documents the
+    least text, once; with no labelled row every score is 0.5.
     """
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
-    ids = ids.orderBy(F.xxhash64("i"), "i", "y").limit(most_rows).groupBy("i").agg(F.max("y").alias("y"))  # at most most_rows small rows
-    chosen = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(ids), "i")
+    ids = ids.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(most_rows)  # most_rows small rows
+    chosen = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(ids), "i").groupBy("i", "y").agg(F.min("t").alias("t"))
 
     def make():
         def fn(texts: pa.Array) -> list:
@@ -90,16 +92,21 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
         return fn
 
-    found = map_texts(chosen, make, [("index", "array<int>"), ("value", "array<float>")], ["i", "y"], "t").toArrow()
-    order = sorted(range(found.num_rows), key=lambda r: hash((found["i"][r].as_py() * 2654435761) & 0xFFFFFFFF))[:most_rows]
-    rows = [(found["index"][r].values.to_numpy(), found["value"][r].values.to_numpy().astype(float), int(found["y"][r].as_py() > 0)) for r in order]
+    found = map_texts(chosen, make, [("index", "array<int>"), ("value", "array<float>")], ["i", "y"], "t")
+    found = cut_lineage(found.select(F.xxhash64("i").alias("h"), F.col("i").cast("string").alias("i"), "y", "index", "value"))
+    before = F.sum(F.size("index")).over(Window.orderBy("h", "i").rowsBetween(Window.unboundedPreceding, -1))  # most_rows rows without their features
+    held = found.select("h", "i", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < most_features).drop("before")
+    taken = found.join(F.broadcast(held), ["h", "i"]).orderBy("h", "i").toArrow()
+    rows = [(taken["index"][r].values.to_numpy(), taken["value"][r].values.to_numpy().astype(float), int(taken["y"][r].as_py() > 0)) for r in range(taken.num_rows)]
     return ftrl(rows, bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text_col: str = "text", threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
     """``keep`` plus score (probability of label 1) and predicted (1 where score >= threshold).
 
-    One row for each input row; a null, empty or blank text has no features and gets the bias alone.
+    One row for each input row, repeated ids and rows included; a null, empty or blank text has no features and gets the
+    bias alone. Whole texts are scored however long. A score equal to the threshold is predicted 1. Kept columns named
+    like an output (in any case) give way to it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats: a fixed size
 
