@@ -123,7 +123,8 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_FIELDS = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+#: Digests travel as bytes and become text at the end.
+_FIELDS = [("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 
 
 def _sign_all(texts: list[str], samples: int) -> list[list]:
@@ -136,9 +137,9 @@ def _sign_all(texts: list[str], samples: int) -> list[list]:
     none_new = [not t for t in edited]
     return [
         [len(t) for t in texts[:n]],
-        [hashlib.sha256(t.encode()).hexdigest() for t in edited],
-        [encode(own[j], none[j]) for j in range(n)],
-        [encode(new[j], none_new[j]) for j in range(n)],
+        [hashlib.sha256(t.encode()).digest() for t in edited],
+        [b"" if none[j] else own[j].astype("<u2").tobytes() for j in range(n)],
+        [b"" if none_new[j] else new[j].astype("<u2").tobytes() for j in range(n)],
         [likeness(own[j], new[j], none[j], none_new[j]) for j in range(n)],
         [likeness(own[j], own[j + 1], none[j], none[j + 1]) for j in range(n)],
     ]
@@ -168,7 +169,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     order = ["i", "h", "n"]
     dealt = base.withColumn("n", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     kind = dict(base.dtypes)["i"]
-    made = ", ".join(f"{n} {'long' if t == pa.int64() else 'double' if t == pa.float64() else 'string'}" for n, t in _FIELDS)
+    made = ", ".join(f"{n} {'long' if t == pa.int64() else 'double' if t == pa.float64() else 'binary'}" for n, t in _FIELDS)
     numbered = dealt.select(F.spark_partition_id().alias("part"), "i", "t")
     done = written(numbered.mapInArrow(_in_order(samples), f"part int, i {kind}, {made}, head string, last string"))
     edge = done.where("last is not null").select("part", "i", "head", "last")
@@ -177,7 +178,9 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     pairs = edge.select("part", "i", "last").join(after, "part").join(heads, "next").select("i", "last", "following")
     closed = pairs.mapInArrow(_pairs(samples), f"i {kind}, {made}")
     names = ["i", *[n for n, _ in _FIELDS]]
-    return done.where("last is null").select(*names).unionByName(closed).withColumnRenamed("i", id_col)
+    out = done.where("last is null").select(*names).unionByName(closed)
+    text = {"edited_sha256": F.lower(F.hex("edited_sha256"))} | {c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}  # as ``encode``
+    return out.select(F.col("i").alias(id_col), *[text.get(n, F.col(n)).alias(n) for n, _ in _FIELDS])
 
 
 def _in_order(samples: int):
