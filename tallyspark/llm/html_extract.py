@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame
 
 from .arrowtext import map_texts
 
-# Fixed values of HTML: inline elements don't end a block; raw and void elements have no text of the page.
+# Fixed values of HTML: inline elements (formulas included) don't end a block; raw and void elements have no text of the
+# page; embedded ones among the raw stand inside a line and don't end a block either.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title head select button canvas object audio video noembed noframes".split())
+INLINE |= frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd semantics".split())
+RAW = frozenset("script style noscript template iframe svg textarea title head select button canvas audio video noembed noframes annotation annotation-xml".split())
+EMBEDDED = frozenset("script style noscript template iframe svg canvas audio video annotation annotation-xml".split())
 OPAQUE = frozenset("script style textarea title noembed noframes iframe".split())
 #: The head's own elements: any other, or text, ends an open head.
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
@@ -28,11 +31,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An opening tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 P_ENDERS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Features look at so many of the nearest ancestors, so that deep nesting costs linear time.
+NEAR = 32
 
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|!\[CDATA\[(.*?)\]\]>|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+#: A tag up to the first ``>``, whatever its quotes; and a quoted value that runs on from a tag without end quote into others.
+_PLAIN_TAG = re.compile(r"<((?!))?((?!))?(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_RUNAWAY = re.compile(r"=\s*(?:\"[^\"<>]*>[^\"<]*<[/a-zA-Z]|'[^'<>]*>[^'<]*<[/a-zA-Z])")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block:
@@ -42,12 +51,63 @@ class Block:
         self.text, self.tags, self.names, self.linked, self.inline = text, tags, names, linked, inline
 
 
+class _Open:
+    """The open elements, with the places of each tag and of those that are not inline: no step walks the whole stack."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple]] = []
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []
+        self.raw = self.links = 0
+
+    def push(self, tag: str, names: tuple) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.solid.append(len(self.stack))
+        self.stack.append((tag, names))
+        self.raw += tag in RAW
+        self.links += tag == "a"
+
+    def cut(self, depth: int) -> None:
+        """Closes everything from that place on."""
+        while len(self.stack) > depth:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.solid.pop()
+            self.raw -= tag in RAW
+            self.links -= tag == "a"
+
+    def last(self, tag: str) -> int | None:
+        return self.places[tag][-1] if self.places.get(tag) else None
+
+    def leave_head(self) -> None:
+        self.cut(self.places["head"][0])
+
+    def end(self, enders: set) -> None:
+        """Closes an element that the new one ends, if only inline elements and paragraphs are open inside it."""
+        for place in reversed(self.solid):
+            tag = self.stack[place][0]
+            if tag in enders:
+                self.cut(place)
+            if tag in enders or tag != "p":
+                return
+
+
+def _next_tag(html: str, at: int, quoted: bool) -> re.Match | None:
+    """The tag at this place; an attribute without its end quote doesn't swallow what follows the tag."""
+    m = _TAG.match(html, at) if quoted or html[at + 1 : at + 2] in ("!", "?") else None
+    if m is None or m[4] and m[5] and _RUNAWAY.search(m[5]):
+        return _PLAIN_TAG.match(html, at) or m
+    return m
+
+
 def blocks(html: str) -> list[Block]:
     """The leaf blocks of a page in order: decoded, white space folded, blank ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    open_ = _Open()
     parts: list[str] = []
-    linked, in_link, raw_depth = 0, 0, 0
+    linked = 0
     inline: set = set()
 
     def close_block() -> None:
@@ -55,82 +115,67 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                tags = tuple(t for t, _ in stack if t not in INLINE)
-                names = tuple(n for t, ns in stack for n in ns)
+                near = open_.stack[-NEAR:]
+                tags = tuple(t for t, _ in near if t not in INLINE)
+                names = tuple(n for _, ns in near for n in ns)
                 out.append(Block(text, tags, names, linked, frozenset(inline)))
         parts, linked, inline = [], 0, set()
 
-    def leave_head() -> None:
-        nonlocal in_link, raw_depth
-        k = next(k for k, (t, _) in enumerate(stack) if t == "head")
-        for t, _ in stack[k:]:
-            in_link -= t == "a"
-            raw_depth -= t in RAW
-        del stack[k:]
-
-    at, lower, n = 0, None, len(html)
+    at, lower, n, last = 0, None, len(html), html.rfind(">")
+    quoted = True  # until a tag whose quotes never close: from there on a tag ends at the first >
     while at < n:
         open_at = html.find("<", at)
         if open_at < 0:
             open_at = n
-        if raw_depth and stack[-1][0] == "head" and html[at:open_at].strip():
-            leave_head()
-        if open_at > at and not raw_depth:
+        if open_.raw and open_.stack[-1][0] == "head" and html[at:open_at].strip():
+            open_.leave_head()
+        if open_at > at and not open_.raw:
             text = unescape(html[at:open_at])
             parts.append(text)
-            if in_link:
+            if open_.links:
                 linked += len(text.strip())
         if open_at == n:
             break
-        m = _TAG.match(html, open_at)
+        m = _next_tag(html, open_at, quoted) if open_at < last or html.startswith("<!--", open_at) else None
+        if m and m.re is _PLAIN_TAG and quoted:
+            quoted = _TAG.match(html, open_at) is not None
         if not m:
-            if not raw_depth:
+            if not open_.raw:
                 parts.append("<")
             at = open_at + 1
             continue
         at = m.end()
-        if m[2] is not None and not raw_depth:
+        if m[2] and not open_.raw:
             parts.append(m[2])
         if m[4] is None:
             continue
         tag = m[4].lower()
         if m[3]:  # closing
-            if tag == "br" or tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "br" or tag == "p" and open_.last("p") is None:
                 continue
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            depth = open_.last(tag)
             if depth is None:
                 continue
             if tag not in INLINE:
-                close_block()
-            elif any(t not in INLINE for t, _ in stack[depth:]):
+                if tag not in EMBEDDED and (not open_.raw or tag in RAW):
+                    close_block()
+            elif open_.solid and open_.solid[-1] >= depth:
                 continue  # a stray inline end does not close blocks
-            for t, _ in stack[depth:]:
-                in_link -= t == "a"
-                raw_depth -= t in RAW
-            del stack[depth:]
+            open_.cut(depth)
             continue
-        if raw_depth and (stack[-1][0] == "head" and tag not in HEAD or tag == "body" and any(t == "head" for t, _ in stack)):
-            leave_head()
+        if open_.raw and (open_.stack[-1][0] == "head" and tag not in HEAD or tag == "body" and open_.last("head") is not None):
+            open_.leave_head()
         if tag in VOID:
-            if tag not in INLINE and not raw_depth:
+            if tag not in INLINE and not open_.raw:
                 if tag == "br":
                     parts.append(" ")
                 else:
                     close_block()
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in EMBEDDED and not open_.raw:
             close_block()
-            enders = ENDS.get(tag, set()) | ({"p"} if tag in P_ENDERS else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in enders:
-                    for t, _ in stack[k:]:
-                        in_link -= t == "a"
-                        raw_depth -= t in RAW
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE and stack[k][0] != "p":
-                    break
-        elif not raw_depth:
+            open_.end(ENDS.get(tag, set()) | ({"p"} if tag in P_ENDERS else set()))
+        elif tag in INLINE and not open_.raw:
             inline.add(tag)
         if m[5] and m[5].rstrip().endswith("/"):
             continue
@@ -138,11 +183,9 @@ def blocks(html: str) -> list[Block]:
         if m[5]:
             found = [(a[1].lower(), a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[5])]
             names = tuple(w for k, v in found if k in ("class", "id", "role") for w in _TOKEN.findall(v.lower()))
-            if any(k == "hidden" or k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I) or k == "aria-hidden" and v == "true" for k, v in found):
+            if any(k == "hidden" or k == "style" and _HIDDEN.search(v) or k == "aria-hidden" and v == "true" for k, v in found):
                 names += ("hidden",)
-        stack.append((tag, names))
-        in_link += tag == "a"
-        raw_depth += tag in RAW
+        open_.push(tag, names)
         if tag in OPAQUE:  # text up to the end tag, whatever it looks like
             if lower is None:
                 lower = html.lower() if len(html.lower()) == len(html) else html
@@ -306,6 +349,19 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[str]]]:
     def listed(a: int, b: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{word()}">{phrase(1, 4)}</a></li>' for _ in range(rng.integers(a, b + 1))) + "</ul>"
 
+    stray = "b i em strong span small u".split()  # left open now and then
+
+    def head() -> str:
+        """A head with some of its usual elements, in any order, and scripts that may hold tags in strings."""
+        code = lambda: f"{rng.choice(['var', 'let', 'const'])} {word()}={rng.choice([str(rng.integers(99)), repr(phrase(1, 3)), repr('<' + str(rng.choice(stray)) + '>' + word()), repr('</' + str(rng.choice(['div', 'li', 'span', 'p'])) + '>')])};"
+        made = [f"<title>{phrase(2, 8)}</title>"]
+        made += [f'<meta name="{word()}" content="{phrase(1, 5)}">' for _ in range(rng.integers(0, 4))]
+        made += [f'<link rel="stylesheet" href="/{word()}.css">'] * int(rng.integers(0, 2))
+        made += [f"<style>.{word()}{{{rng.choice(['color', 'width', 'padding'])}:{rng.integers(9)}}}</style>" for _ in range(rng.integers(0, 2))]
+        made += [f"<script>{code()}</script>" for _ in range(rng.integers(0, 3))]
+        rng.shuffle(made)
+        return f"<head>{''.join(made)}" + ("</head>" if rng.random() < 0.9 else "")
+
     def dropped(kind: str) -> str:
         names = _DROPPED_NAMES[kind]
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "div")
@@ -349,7 +405,8 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[str]]]:
                     j = int(rng.integers(0, len(w)))
                     w[j] = f"<{(g := str(rng.choice(['b', 'i', 'em', 'strong', 'span'])))}>{w[j]}</{g}>" if rng.random() < 0.6 else f'<a href="/{word()}">{w[j]}</a>'
                     t = " ".join(w)
-                body.append(str(rng.choice(["<p>", "<p>", "<p>", "<p><b>"])) + keep(t) + str(rng.choice(["</p>", "</p>", "<br>", ""])))
+                opened = f"<p>{f'<{rng.choice(stray)}>' if rng.random() < 0.15 else ''}" if rng.random() < 0.93 else f"<div{pick('para block text lead', 0.3)}>"
+                body.append(opened + keep(t) + ("</div>" if opened[1] == "d" else str(rng.choice(["</p>", "</p>", "</p>", "<br>", "<br/>", ""]))))
             elif kind < 0.78:
                 body.append(f"<h{rng.integers(2, 4)}>{keep(phrase(1, 6))}</h2>".replace("</h2>", "") if rng.random() < 0.05 else f"<h2>{keep(phrase(1, 6))}</h2>")
             elif kind < 0.9:
@@ -367,7 +424,7 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[str]]]:
             article = f"<div{pick(_KEPT_NAMES + ' wrapper container row', 0.8)}>{article}</div>"
         before = [dropped(k) for k in ("header", "nav", "notice", "ad", "form", "share") if rng.random() < (0.35 if k in ("notice", "form", "share") else 0.6)]
         after = [dropped(k) for k in ("share", "comments", "aside", "ad", "notice", "form", "footer") if rng.random() < (0.75 if k == "footer" else 0.35)]
-        html = "<!DOCTYPE html><html><head><title>" + phrase(2, 8) + "</title><style>p{margin:0}</style><script>var t='</p>';</script></head><body>" + "".join(before) + article + "".join(after)
+        html = f"<!DOCTYPE html><html{pick('no js page home', 0.2)}>{head()}<body{pick('page home single post', 0.2)}>" + "".join(before) + article + "".join(after)
         pages.append((html + ("</body></html>" if rng.random() < 0.9 else ""), kept))
     return pages
 
@@ -398,8 +455,9 @@ def extract(html: str | None, model: Crf) -> str:
 def main_text(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """``keep`` plus text (kept blocks in page order, two line feeds between) and n_chars (its code points).
 
-    One row for each input row. A null, empty or textless page gives the empty text. Kept columns named like an
-    output give way to it.
+    One row for each input row, repeated rows and ids included. A null, empty or textless page gives the empty text;
+    long and deeply nested pages are read whole, in linear time. Of equal paths the one that drops wins. Kept columns
+    named like an output (in any case) give way to it.
     """
     model = trained()
     shared = pages.sparkSession.sparkContext.broadcast((model.emit, model.move))  # 2**BITS rows: a fixed size
