@@ -25,6 +25,7 @@ RECALL = 0.999
 #: Half windows in shingles; a template of up to half + 1 shingles lies whole in some window of two halves.
 HALVES = (2, 8)
 BANDS = math.ceil(math.log(1 - RECALL) / math.log(1 - 0.25))
+#: Templates that are broadcast at once; more are scanned for in several passes over the texts.
 MOST_TEMPLATES = 10_000
 
 # Notices as they are commonly printed, by SPDX identifier.
@@ -73,11 +74,9 @@ def masks() -> list[int]:
     return [rng.getrandbits(64) - (1 << 63) for _ in range(BANDS)]
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[int, str, list[int]]]:
-    """(number, license, distinct shingles in order) of the templates that have words."""
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"at most {MOST_TEMPLATES} templates are broadcast")
-    rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "k int, name string, t string")
+def template_table(spark: SparkSession, templates: list[tuple[int, str, str]]) -> list[tuple[int, str, list[int]]]:
+    """(number, license, distinct shingles in order) of the (number, license, text) that have words."""
+    rows = spark.createDataFrame(templates, "k int, name string, t string")
     rows = rows.select("k", "name", F.array_distinct(shingles(F.col("t"))).alias("s")).where(F.size("s") > 0)
     return [(r["k"], r["name"], list(r["s"])) for r in rows.orderBy("k").collect()]
 
@@ -107,39 +106,61 @@ def _regions(h: Column, half: int, own: Column, reach: int) -> Column:
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """id, template, license, containment, shingle for each document and template that matches around a window.
 
-    ``shingle`` is the number of the first window's first word. Null texts and texts without words match nothing.
+    ``shingle`` is the number of the first window's first word. Null texts and texts without words match nothing. Rows
+    that repeat an id are one document here.
     """
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    return _matches(own, ["id"], templates, containment)
+
+
+def _matches(docs: DataFrame, keys: list[str], templates: list[tuple[str, str]] | None, containment: float) -> DataFrame:
+    """Matches of the texts t by the keys."""
+    spark = docs.sparkSession
+    numbered = [(k, name, text) for k, (name, text) in enumerate(TEMPLATES if templates is None else templates)]
+    found = None
+    for lo in range(0, len(numbered), MOST_TEMPLATES):
+        part = _block_matches(docs, keys, template_table(spark, numbered[lo : lo + MOST_TEMPLATES]), containment)
+        if part is not None:
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        schema = ", ".join(f"{k} {dict(docs.dtypes)[k]}" for k in keys)
+        return spark.createDataFrame([], f"{schema}, template int, license string, containment double, shingle int")
+    return found
+
+
+def _block_matches(docs: DataFrame, keys: list[str], table: list[tuple[int, str, list[int]]], containment: float) -> DataFrame | None:
     spark = docs.sparkSession
-    table = template_table(spark, TEMPLATES if templates is None else templates)
-    schema = f"id {dict(docs.dtypes)[id_col]}, template int, license string, containment double, shingle int"
     if not table:
-        return spark.createDataFrame([], schema)
+        return None
     rows, mask = band_rows(table), masks()
     reach = max(len(s) for _, _, s in table)
     least = {half: sorted({v ^ mask[b] for h, b, v, _ in rows if h == half}) for half in HALVES}
     literal = lambda xs: F.array(*[F.lit(x) for x in xs])
     anyof = literal(sorted({x for v in least.values() for x in v}))
     regions = lambda h: F.when(F.arrays_overlap(h, anyof), F.concat(*[_regions(h, half, literal(v), reach) for half, v in least.items() if v]))
-    near = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(let(shingles(F.col(f"`{text_col}`")), regions)).alias("x")).select("id", "x.*")
+    near = docs.select(*keys, F.explode(let(shingles(F.col("t")), regions)).alias("x")).select(*keys, "x.*")
     minima = F.transform(F.array(*[F.lit(m) for m in mask]), lambda m: F.array_min(F.transform("win", lambda x: x.bitwiseXOR(m))))
-    near = near.select("id", "half", "at", "region", F.posexplode(minima).alias("band", "value"))
+    near = near.select(*keys, "half", "at", "region", F.posexplode(minima).alias("band", "value"))
     bands = spark.createDataFrame(rows, "half int, band int, value bigint, template int")  # a few rows a template
     texts = spark.createDataFrame(table, "template int, license string, s array<bigint>")
     found = near.join(F.broadcast(bands), ["half", "band", "value"]).join(F.broadcast(texts), "template")
     share = F.size(F.array_intersect("s", "region")) / F.size("s")
-    found = found.select("id", "template", "license", share.alias("containment"), "at").where(F.col("containment") >= containment)
-    return found.groupBy("id", "template", "license").agg(F.max("containment").alias("containment"), F.min("at").alias("shingle"))
+    found = found.select(*keys, "template", "license", share.alias("containment"), "at").where(F.col("containment") >= containment)
+    return found.groupBy(*keys, "template", "license").agg(F.max("containment").alias("containment"), F.min("at").alias("shingle"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """A row for each row: id, licenses (distinct, sorted), n_templates, containment (the best, 0 without a match).
 
-    Rows that repeat an id share what any of them matches; a null id has a row of its own, with the matches of all
-    rows without id.
+    Rows that repeat an id are scanned each for themselves, null ids too; rows without words match nothing; texts are
+    read whole, however long; equal best matches count as several templates. Other columns are not read, whatever
+    their names; an empty table gives no rows. Matches come back to rows by id and a hash of the text, so that no id
+    gathers its rows in one task.
     """
-    hits = matches(docs, id_col, text_col, templates, containment)
-    per = hits.groupBy("id").agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.countDistinct("template").alias("n_templates"), F.max("containment").alias("containment"))
-    ids = docs.select(F.col(f"`{id_col}`").alias("i"))
-    return ids.join(per, F.col("i").eqNullSafe(F.col("id")), "left").select(
-        F.col("i").alias(id_col), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("n_templates", F.lit(0)).cast("bigint").alias("n_templates"), F.coalesce("containment", F.lit(0.0)).alias("containment")
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).withColumn("th", F.xxhash64("t"))
+    hits = _matches(own, ["id", "th"], templates, containment)
+    per = hits.groupBy("id", "th").agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.countDistinct("template").alias("n_templates"), F.max("containment").alias("containment"))
+    rows, per = own.select("id", "th").alias("r"), per.alias("m")
+    return rows.join(per, F.col("r.id").eqNullSafe(F.col("m.id")) & (F.col("r.th") == F.col("m.th")), "left").select(
+        F.col("r.id").alias(id_col), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("n_templates", F.lit(0)).cast("bigint").alias("n_templates"), F.coalesce("containment", F.lit(0.0)).alias("containment")
     )
