@@ -92,12 +92,14 @@ def telemetry(schedule: DataFrame, seed: int = 0, jitter_vram: float = 8.0, jitt
 def modelled_noise(text: Column) -> Column:
     """Noise that canonical folding undoes: case, confused digits, a ligature and a doubled space."""
     swapped = F.translate(text, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-    once = lambda s, a, b: F.when(F.instr(s, a) > 0, F.overlay(s, F.lit(b), F.instr(s, a), F.lit(len(a)))).otherwise(s)
+
+    def once(text: Column, a: str, b: str) -> Column:
+        return T.let(text, lambda s: F.when(F.instr(s, a) > 0, F.overlay(s, F.lit(b), F.instr(s, a), F.lit(len(a)))).otherwise(s))
+
     out = swapped
     for a, b in (("O", "0"), ("o", "0"), ("L", "1"), ("l", "1"), ("FI", "ﬁ"), ("fi", "ﬁ")):
         out = once(out, a, b)
-    at = F.instr(out, " ")
-    return F.when(at > 1, F.overlay(out, F.lit("  "), at, F.lit(1))).otherwise(out)
+    return T.let(out, lambda s: F.when(F.instr(s, " ") > 1, F.overlay(s, F.lit("  "), F.instr(s, " "), F.lit(1))).otherwise(s))
 
 
 def unmodelled_noise(text: Column, *parts) -> Column:
