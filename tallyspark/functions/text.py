@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ALNUM = r"[\p{L}\p{N}]"
 GLOBAL_SHINGLE = 12
@@ -14,6 +15,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def schema_with(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` and, after it, of the columns in ``more``."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def normalize(text: Column) -> Column:
     """White space runs become one space; trimmed; lower-cased."""
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
@@ -93,7 +99,11 @@ LIGATURES = {"ﬁ": "fi", "ﬂ": "fl"}
 
 def canonicalize(text: Column) -> Column:
     """Lower case, one space for white space, trimmed, recognition confusions folded, ligatures spelled out."""
-    out = F.translate(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), OCR_FROM, OCR_TO)
+    return _folded(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def _folded(text: Column) -> Column:
+    out = F.translate(F.lower(text), OCR_FROM, OCR_TO)
     for a, b in LIGATURES.items():
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -116,6 +126,23 @@ def canonical_map(text: Column) -> Column:
     return let(F.struct(F.split(text, "").alias("chars"), lead.alias("lead"), last.alias("last")), body)
 
 
+def source_offset(text: Column, canonical: Column, at: Column) -> Column:
+    """The element ``at`` of ``canonical_map`` without that array: the words before it, and their gaps, have known lengths."""
+    body = F.regexp_replace(text, r"^\s+", "")
+    before = F.substring(canonical, F.lit(1), at)
+    words = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))  # whole words before it
+    parts = F.struct(F.split(body, r"\s+").alias("words"), F.regexp_extract_all(body, F.lit(r"\s+"), F.lit(0)).alias("gaps"), words.alias("n"), F.length(F.substring_index(before, " ", -1)).alias("k"))
+    length = lambda a, n: F.length(F.array_join(F.slice(a, F.lit(1), n), ""))
+
+    def within(x: Column) -> Column:
+        word = F.get(x["words"], x["n"])
+        each = F.flatten(F.transform(F.split(word, ""), lambda c, i: F.array_repeat(i, F.length(_folded(c)))))
+        # Only ligatures and a few letters change their length; the character after a word is its gap's first.
+        return F.when(F.length(_folded(word)) == F.length(word), x["k"]).otherwise(F.coalesce(F.get(each, x["k"]), F.length(word)))
+
+    return F.length(text) - F.length(body) + let(parts, lambda x: length(x["words"], x["n"]) + length(x["gaps"], x["n"]) + within(x))
+
+
 def occurrences(text: Column, part: Column) -> Column:
     """Occurrences that don't overlap; 0 for an empty part."""
     return F.when(F.length(part) > 0, ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("int")).otherwise(0)

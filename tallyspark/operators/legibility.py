@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as T
@@ -59,39 +59,58 @@ def table_score(lines: Column) -> Column:
     return 0.5 * _share(counts, lambda c: c >= 2) + 0.3 * _modal_share(multi) + 0.2 * F.coalesce(T.let(starts, alignment), F.lit(0.0))
 
 
-def order_margins(line_vectors: DataFrame) -> DataFrame:
-    """(id, margin) from (id, line, n, bucket, w): mean cosine of neighbours less that of lines two apart; from four lines on.
+def order_margins(chunks: DataFrame, slots) -> DataFrame:
+    """The chunks with margin in place of lines: mean cosine of neighbouring lines less that of lines two apart.
 
-    A line's vector is one row; its neighbours come by one window over the document. Lines without words have no row
-    and are like no other.
+    ``chunks`` has lines, an array of strings. margin is null under four lines and for chunks without any word; a line
+    without words is like no other. A chunk is judged inside its row, in integer sums: nothing is shuffled or joined.
     """
-    line = line_vectors.where("n >= 4").groupBy("id", "line").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"), F.sum(F.col("w") * F.col("w")).alias("nn"))
-    w = Window.partitionBy("id").orderBy("line")
-    here = F.struct("line", "m", "nn")
-    near = line.select("id", "n", here.alias("a"), F.lead(here, 1).over(w).alias("b"), F.lead(here, 2).over(w).alias("c"))
+    import numpy as np
+    import pyarrow as pa
 
-    def cosine(x: Column) -> Column:
-        dot = F.aggregate(F.map_entries("a.m"), F.lit(0).cast("bigint"), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at(x["m"], e["key"]), F.lit(0)))
-        return dot / F.sqrt(F.col("a.nn").cast("double") * x["nn"].cast("double"))
-
-    at = lambda x, k: F.when(x["line"] == F.col("a.line") + k, cosine(x))
-    both = near.groupBy("id").agg(F.first("n").alias("n"), F.sum(at(F.col("b"), 1)).alias("s1"), F.sum(F.coalesce(at(F.col("b"), 2), at(F.col("c"), 2))).alias("s2"))
-    return both.select("id", (F.coalesce("s1", F.lit(0.0)) / (F.col("n") - 1) - F.coalesce("s2", F.lit(0.0)) / (F.col("n") - 2)).alias("margin"))
-
-
-def score(chunks: DataFrame, slots, dim: int = 256) -> DataFrame:
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
+    kept = [c for c in chunks.columns if c != "lines"]
+    per = chunks.select(*kept, F.when(F.size("lines") >= 4, F.transform("lines", words)).otherwise(F.array().cast("array<array<string>>")).alias("__words"))
+    made = per.select(*kept, F.transform("__words", F.size).alias("__counts"), slots(F.flatten("__words")).alias("__slots"))
+
+    def judge(batches):
+        for batch in batches:
+            counts, pairs = batch.column("__counts"), batch.column("__slots")
+            per_row = np.diff(counts.offsets.to_numpy())
+            row = np.repeat(np.arange(len(per_row)), per_row)  # of each line
+            flat = pairs.flatten()
+            bucket, sign = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("bucket", "sign"))
+            width = int(bucket.max()) + 1 if len(bucket) else 1
+            line = np.repeat(np.arange(len(row)), counts.flatten().to_numpy())
+            key, place = np.unique(line * width + bucket, return_inverse=True)
+            w = np.bincount(place, sign, len(key))
+            key, w = key[w != 0], w[w != 0]
+            line = key // width
+            square = np.bincount(line, w * w, len(row))
+            margin = np.zeros(len(per_row))
+            for step, of in ((1, 1.0), (2, -1.0)):
+                at = np.minimum(np.searchsorted(key, key + step * width), max(len(key) - 1, 0))
+                same = key[at] == key + step * width
+                dots = np.bincount(line[same], w[same] * w[at[same]], len(row))
+                first = np.flatnonzero(dots)
+                first = first[row[first] == row[np.minimum(first + step, len(row) - 1)]]
+                cosine = dots[first] / np.sqrt(square[first] * square[first + step])
+                margin += of * np.bincount(row[first], cosine, len(per_row)) / np.maximum(per_row - step, 1)
+            some = np.bincount(row, square, len(per_row)) > 0
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(margin, mask=~some)], [*kept, "margin"])
+
+    return made.mapInArrow(judge, T.schema_with(chunks.select(*kept), "margin double"))
+
+
+def score(chunks: DataFrame, slots) -> DataFrame:
     """(id, order_score, order_margin, order_applicable, table_score, table_applicable, legible, reasons) over (id, text).
 
     ``slots`` maps an array of tokens to (bucket, sign) structs. Tabular content is judged by its cells only.
     """
-    from .retrieval import sparse
-
     base = chunks.select("id", T.lines(F.col("text")).alias("lines"))
-    facts = base.select("id", F.size("lines").alias("n"), looks_tabular(F.col("lines")).alias("table_applicable"), F.when(looks_tabular(F.col("lines")), table_score(F.col("lines"))).otherwise(1.0).alias("table_score"))
-    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
-    line = base.select("id", F.size("lines").alias("n"), F.posexplode("lines").alias("line", "l"))
-    vectors = sparse(line, ["id", "n", "line"], slots(words(F.col("l"))))
-    out = facts.join(order_margins(vectors), "id", "left")
+    facts = base.select("id", "lines", F.size("lines").alias("n"), looks_tabular(F.col("lines")).alias("table_applicable"))
+    facts = facts.withColumn("table_score", F.when(F.col("table_applicable"), table_score(F.col("lines"))).otherwise(1.0))
+    out = order_margins(facts.withColumn("lines", F.when(~F.col("table_applicable"), F.col("lines"))), slots)
     applies = ~F.col("table_applicable") & (F.col("n") >= 4)
     out = out.withColumn("order_applicable", applies).withColumn("order_margin", F.when(F.col("order_applicable"), F.coalesce("margin", F.lit(0.0))).otherwise(0.0))
     out = out.withColumn("order_score", F.when(F.col("order_applicable"), 0.5 + 0.5 * F.tanh(SQUASH * F.col("order_margin"))).otherwise(1.0))

@@ -47,7 +47,7 @@ def queries(chunks: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFr
 def reachability(chunks: DataFrame, spans: DataFrame, slots, k: int = K, window: int = WINDOW) -> DataFrame:
     """Spans plus query, rank (1..k, else -1) of the span's own chunk for its query, reachable. ``slots`` hashes tokens."""
     q = queries(chunks, spans, window).withColumn("qid", F.concat_ws(":", "id", "kind", "start"))
-    index = retrieval.sparse(chunks, ["id"], slots(T.tokens(F.col("text"))))
+    index = chunks.select("id", slots(T.tokens(F.col("text"))).alias("slots"))
     qv = retrieval.sparse(q.select("qid", "query"), ["qid"], slots(T.tokens(F.col("query"))))
     ranked = retrieval.best_k(qv, index, "qid", ["id"], k).select("qid", "id", "rank")
     out = q.join(ranked, ["qid", "id"], "left").withColumn("rank", F.coalesce("rank", F.lit(-1)))
@@ -76,7 +76,7 @@ def recall_curve(chunks: DataFrame, scored: DataFrame, gold: DataFrame, slots, k
     out = None
     for policy, spans in (("none", None), ("minimal", scored.where("reachable")), ("blanket", scored)):
         held = chunks if spans is None else redact(chunks, spans)
-        index = retrieval.sparse(held, ["id"], slots(T.tokens(F.col("text"))))
+        index = held.select("id", slots(T.tokens(F.col("text"))).alias("slots"))
         q = retrieval.sparse(gold.select("qid", "query"), ["qid"], slots(T.tokens(F.col("query"))))
         ranked = retrieval.best_k(q, index, "qid", ["id"], max(ks))
         for k in ks:

@@ -20,16 +20,16 @@ def manifest(sources: DataFrame, citations: DataFrame) -> DataFrame:
     """source_id, cite_id, quote, status, start, stop (code points of the source, null unless RESOLVED).
 
     Sources are folded once each; a quotation that stands more than once (counted without overlap) is AMBIGUOUS.
-    Citations join their source on source_id.
+    Citations join their source on source_id. Offsets are looked up for resolved ones only.
     """
-    folded = sources.select("source_id", T.canonicalize(F.col("source")).alias("canon"), T.canonical_map(F.col("source")).alias("map"))
+    folded = sources.select("source_id", "source", T.canonicalize(F.col("source")).alias("canon"))
     quotes = citations.select("source_id", "cite_id", "quote", T.canonicalize(F.col("quote")).alias("needle"))
     both = quotes.join(folded, "source_id", "left")
     n = F.coalesce(T.occurrences(F.col("canon"), F.col("needle")), F.lit(0))
     both = both.withColumn("n", n).withColumn("at", F.when(F.col("n") == 1, F.expr("locate(needle, canon)")))
     status = F.when(F.col("n") == 0, "UNRESOLVED").when(F.col("n") > 1, "AMBIGUOUS").otherwise("RESOLVED")
-    start = F.get("map", F.col("at") - 1)
-    stop = F.get("map", F.col("at") + F.length("needle") - 2) + 1
+    offset = lambda at: F.when(F.col("at") > 0, T.source_offset(F.col("source"), F.col("canon"), at))
+    start, stop = offset(F.col("at") - 1), offset(F.col("at") + F.length("needle") - 2) + 1
     return both.select("source_id", "cite_id", "quote", status.alias("status"), start.alias("start"), stop.alias("stop"))
 
 

@@ -84,6 +84,7 @@ def top_docs(scored: DataFrame, query_key: str, doc: str, position: str, k: int)
 def best_k(queries: DataFrame, chunks: DataFrame, query_key: str, chunk_key: list[str], k: int, doc: str | None = None) -> DataFrame:
     """(query_key, chunk_key..., sim, rank) of ``top_k`` over ``scores``; with ``doc``, (query_key, doc, chunk_no, sim, rank) of ``top_docs``.
 
+    Chunks are rows of ``sparse``, or one row for each chunk with its ``slots``, which then needs no shuffle at all.
     Queries of a checked size travel to the chunks as one matrix. A batch of chunks meets it in one product, and only
     its k best of each query leave it: no pair is ever a row. Larger query sets go by ``scores``.
     """
@@ -94,7 +95,8 @@ def best_k(queries: DataFrame, chunks: DataFrame, query_key: str, chunk_key: lis
     position = next((c for c in chunk_key if c != doc), doc)
     size = queries.agg(F.countDistinct(query_key).alias("n"), F.countDistinct("bucket").alias("width"), F.count("*").alias("entries")).first()
     if size["n"] * size["width"] > BLOCK_NUMBERS or size["entries"] > BROADCAST_ENTRIES:
-        scored = scores(queries, chunks, query_key, chunk_key)
+        vectors = sparse(chunks, chunk_key, F.col("slots")) if "slots" in chunks.columns else chunks
+        scored = scores(queries, vectors, query_key, chunk_key)
         return top_docs(scored, query_key, doc, position, k) if doc else top_k(scored, query_key, chunk_key, k)
     held = queries.select(query_key, "bucket", "w").toArrow().combine_chunks()
     ids = pc.unique(held[query_key].combine_chunks()) if held.num_rows else held[query_key].combine_chunks()
@@ -102,7 +104,10 @@ def best_k(queries: DataFrame, chunks: DataFrame, query_key: str, chunk_key: lis
     q = np.zeros((len(ids), len(buckets)))
     np.add.at(q, (np.asarray(pc.index_in(held[query_key].combine_chunks(), ids)), np.searchsorted(buckets, held["bucket"].to_numpy())), held["w"].to_numpy())
     shared = queries.sparkSession.sparkContext.broadcast((ids, buckets, q))
-    rows = chunks.groupBy(*chunk_key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"), F.sum(F.col("w") * F.col("w")).alias("nn"))
+    if "slots" in chunks.columns:
+        rows = chunks.select(*chunk_key, F.transform("slots", lambda s: F.struct(s["bucket"].alias("bucket"), s["sign"].alias("w"))).alias("m"))
+    else:
+        rows = chunks.groupBy(*chunk_key).agg(F.collect_list(F.struct("bucket", "w")).alias("m"))
     kinds = dict(chunks.dtypes) | dict(queries.dtypes)
 
     def best(batches):
@@ -114,21 +119,31 @@ def best_k(queries: DataFrame, chunks: DataFrame, query_key: str, chunk_key: lis
             for lo in range(0, whole.num_rows, step):
                 batch = whole.slice(lo, step)
                 m = batch.column("m")
-                keys, values = m.keys.to_numpy(), m.items.to_numpy()
+                inner = m.flatten()
+                keys, values = (inner.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("bucket", "w"))
                 row = np.repeat(np.arange(len(m)), np.diff(m.offsets.to_numpy()))
-                keys, values = keys[m.offsets[0].as_py() : m.offsets[-1].as_py()], values[m.offsets[0].as_py() : m.offsets[-1].as_py()]
+                width = int(keys.max()) + 1 if len(keys) else 1
+                cells, place = np.unique(row * width + keys, return_inverse=True)
+                values = np.bincount(place, values, len(cells))
+                row, keys = cells // width, cells % width
+                norm = np.bincount(row, values * values, len(m))
                 at = np.minimum(np.searchsorted(buckets, keys), len(buckets) - 1)
                 known = buckets[at] == keys
                 c = np.zeros((len(m), len(buckets)))
                 c[row[known], at[known]] = values[known]
-                sims = (q @ c.T) / np.sqrt(own[:, None] * batch.column("nn").to_numpy().astype(float)[None, :])
+                sims = (q @ c.T) / np.sqrt(own[:, None] * np.where(norm > 0, norm, 1)[None, :])
                 sims[has @ (c != 0).T.astype(float) == 0] = -np.inf  # no bucket in common
                 order = [position, doc] if doc else chunk_key
                 ranks = [np.asarray(pc.rank(batch.column(n), "ascending", tiebreaker="dense")).astype(np.int64) for n in order]
-                found = np.lexsort((*[np.broadcast_to(r, sims.shape) for r in reversed(ranks)], -sims), axis=1)
+                top = sims
+                if doc:  # the best of each document
+                    by = np.argsort(ranks[1], kind="stable")
+                    top = np.maximum.reduceat(sims[:, by], np.flatnonzero(np.diff(ranks[1][by], prepend=-1)), axis=1)
+                least = np.partition(top, -k, axis=1)[:, -k] if top.shape[1] > k else np.full(len(sims), -np.inf)
                 qs, cs = [], []
-                for j, line in enumerate(found):
-                    line = line[sims[j, line] > -np.inf]
+                for j in range(len(sims)):
+                    line = np.flatnonzero((sims[j] >= least[j]) & (sims[j] > -np.inf))
+                    line = line[np.lexsort((*[r[line] for r in reversed(ranks)], -sims[j, line]))]
                     if doc:  # of each document the first
                         line = line[np.sort(np.unique(ranks[1][line], return_index=True)[1])]
                     line = line[:k]

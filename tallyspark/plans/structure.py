@@ -145,11 +145,8 @@ _ORDER = """WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORD
 
 @query("reading_order", _ORDER.format(lines=_LINES))
 def reading_order(t: Tables) -> DataFrame:
-    from tallyspark.operators.retrieval import sparse
-
-    line = t.documents.select(F.col("doc_id").alias("id"), T.lines(F.col("text")).alias("lines")).select("id", F.size("lines").alias("n"), F.posexplode("lines").alias("line", "l"))
-    vectors = sparse(line, ["id", "n", "line"], vec.md5_slots(F.regexp_extract_all(F.lower("l"), F.lit("[a-z0-9]+"), F.lit(0))))
-    return legibility.order_margins(vectors).select(F.col("id").alias("doc_id"), F.round("margin", 6).alias("margin"))
+    judged = legibility.order_margins(t.documents.select("doc_id", T.lines(F.col("text")).alias("lines")), vec.md5_slots)
+    return judged.where("margin is not null").select("doc_id", F.round("margin", 6).alias("margin"))
 
 
 def _order_tables(t: Tables, collapse: bool) -> DataFrame:

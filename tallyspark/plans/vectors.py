@@ -44,7 +44,8 @@ def _bench_vectors(t: Tables) -> DataFrame:
 
 
 def _top(t: Tables, k: int) -> DataFrame:
-    return retrieval.best_k(_bench_vectors(t), _doc_vectors(t), "qid", ["id"], k)
+    docs = t.documents.select(F.col("doc_id").alias("id"), vec.md5_slots(T.tokens(F.col("text"))).alias("slots"))
+    return retrieval.best_k(_bench_vectors(t), docs, "qid", ["id"], k)
 
 
 @query("cosine_topk", f"{_TOPK} SELECT qid, id, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
@@ -65,8 +66,8 @@ _CHUNKS = f"SELECT doc_id, i // 4 AS chunk_no, list_reduce(list_transform(toks[i
 def doc_topk(t: Tables) -> DataFrame:
     """Passages of four tokens, collapsed to documents."""
     chunks = t.documents.select("doc_id", F.posexplode(T.four_token_chunks(F.col("text"))).alias("chunk_no", "chunk"))
-    vectors = retrieval.sparse(chunks, ["doc_id", "chunk_no"], vec.md5_slots(T.tokens(F.col("chunk"))))
-    ranked = retrieval.best_k(_bench_vectors(t), vectors, "qid", ["doc_id", "chunk_no"], 3, doc="doc_id")
+    slots = chunks.select("doc_id", "chunk_no", vec.md5_slots(T.tokens(F.col("chunk"))).alias("slots"))
+    ranked = retrieval.best_k(_bench_vectors(t), slots, "qid", ["doc_id", "chunk_no"], 3, doc="doc_id")
     return ranked.select("qid", "doc_id", F.round("sim", 6).alias("sim"), "rank")
 
 

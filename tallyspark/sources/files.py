@@ -76,6 +76,15 @@ def build_pipeline(docs: DataFrame, queries: DataFrame, slots, dim: int = 256, k
     return {"docs": docs, "index": placed.select("pos", "id"), "emb": emb, "queries": queries, "retrieval": hits}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A read table with its rows over all cores, where it has fewer splits than there are cores: a small file is one row group.
+
+    A table of many splits is returned as it is, so a large one is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """A run's result for a later drift comparison."""
     df.write.mode("overwrite").format(fmt).save(path)
