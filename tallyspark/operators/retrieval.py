@@ -162,6 +162,22 @@ def recall_at_k(ranked: DataFrame, gold: DataFrame, query_key: str, item: str) -
     return hit.agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)).alias("recall"))
 
 
+#: Characters of the passages that one broadcast holds, about; more passages are taken in several passes over the documents.
+PASSAGE_CHARS = 8_000_000
+
+
+def containing(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, id): the documents (id, text) in which a passage (qid, passage) stands literally. A null is in nothing, an empty one in every text."""
+    size = passages.agg(F.coalesce(F.sum(F.length("passage") + 16), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-size // PASSAGE_CHARS))
+    out = None
+    for b in range(blocks):
+        block = passages if blocks == 1 else passages.where(F.pmod(F.xxhash64("qid", "passage"), F.lit(blocks)) == b)
+        found = docs.join(F.broadcast(block), F.expr("contains(text, passage)")).select("qid", "id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 #: Numbers of query vectors that one pass holds (8 bytes each); more queries are taken in several passes.
 BLOCK_NUMBERS = 4_000_000
 

@@ -75,7 +75,8 @@ _GOLD = "SELECT item_id AS qid, doc_id AS id FROM benchmark b JOIN documents d O
 
 
 def _gold(t: Tables) -> DataFrame:
-    return t.documents.join(F.broadcast(t.benchmark.select("item_id", F.col("text").alias("passage"))), F.expr("contains(text, passage)")).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("id"))
+    passages = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    return retrieval.containing(passages, t.documents.select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("recall_at_k", f"{_TOPK}, g AS ({_GOLD}) SELECT round(coalesce(avg(CASE WHEN k.id IS NULL THEN 0 ELSE 1 END), 1.0), 9) AS recall FROM g LEFT JOIN k ON k.qid = g.qid AND k.id = g.id AND k.rank <= 10")

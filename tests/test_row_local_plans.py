@@ -71,3 +71,13 @@ def test_spread_keeps_every_row(spark, tmp_path):
     assert sorted(r["id"] for r in files.spread(few).collect()) == list(range(1000))
     many = spark.range(0, 100, 1, 64)
     assert files.spread(many) is many
+
+
+def test_passages_are_found_whatever_the_number_of_blocks(spark, monkeypatch):
+    docs = [(1, "the red tree"), (2, "red"), (3, None), (4, "a stone, a red stone"), (4, "tree")]
+    passages = [(10, "red"), (11, "stone, a"), (12, None), (13, ""), (14, "blue"), (10, "tree")]
+    d, p = spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(passages, "qid int, passage string")
+    want = sorted((q, i) for q, s in passages for i, t in docs if s is not None and t is not None and s in t)
+    for size in (8_000_000, 40):
+        monkeypatch.setattr(retrieval, "PASSAGE_CHARS", size)
+        assert sorted(tuple(r) for r in retrieval.containing(p, d).collect()) == want
