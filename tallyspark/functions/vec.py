@@ -37,7 +37,11 @@ def quantized(a: Column, bits: int) -> Column:
     """Symmetric per-vector quantisation, back in floating point; halves round to even."""
     top = float(2 ** (bits - 1) - 1)
     largest = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
-    return F.when(largest > 0, F.transform(a, lambda x: F.rint(x.cast("double") / (largest / top)) * (largest / top))).otherwise(F.transform(a, lambda x: x.cast("double")))
+
+    def rounded(m: Column) -> Column:
+        return F.when(m > 0, F.transform(a, lambda x: F.rint(x.cast("double") / (m / top)) * (m / top))).otherwise(F.transform(a, lambda x: x.cast("double")))
+
+    return F.transform(F.array(largest), rounded)[0]  # the largest once for each vector, not once for each element
 
 
 def md5_slots(tokens: Column) -> Column:

@@ -274,4 +274,5 @@ def vector_certificate(t: Tables) -> DataFrame:
 @query("quant_drift", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) / 127.0 AS s FROM v), l AS (SELECT vec_id, v, list_transform(v, lambda x: round_even(x / s, 0) * s) AS w FROM q)
  SELECT vec_id, round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 6) AS cosine FROM l""")
 def quant_drift(t: Tables) -> DataFrame:
-    return t.embeddings.select("vec_id", F.round(vec.cosine(F.col("embedding"), vec.quantized(F.col("embedding"), 8)), 6).alias("cosine"))
+    drift = T.let(vec.quantized(F.col("embedding"), 8), lambda q: vec.cosine(F.col("embedding"), q))
+    return t.embeddings.select("vec_id", F.round(drift, 6).alias("cosine"))
