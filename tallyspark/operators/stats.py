@@ -57,13 +57,15 @@ def bootstrap_mean(df: DataFrame, value: str, order: str, replicates: int = 2000
     """One row: mean and percentile interval of the mean under resampling with replacement.
 
     Draw i of replicate b is the row number md5(seed:b:i) mod n, so any engine draws alike. The input is a gate's
-    per-query differences: a few thousand rows at most, numbered in one small window.
+    per-query differences: they are read once, sorted into one array, and that one row is sent to the replicates, which
+    are spread over all cores. No draw is ever broadcast or sent to the driver.
     """
-    rows = df.select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(order)) - 1).alias("i"))
-    n = rows.agg(F.count("*").alias("n"))
-    draws = F.broadcast(n).select("n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")).where("n > 0")
-    draws = draws.select("n", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("d"))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "d")), 1, 12), 16, 10).cast("bigint") % F.col("n")
-    means = draws.select("b", pick.alias("i")).join(rows, "i").groupBy("b").agg(F.avg("v").alias("m"))
-    ci = means.agg(F.percentile("m", F.array(F.lit(low), F.lit(high))).alias("q"))
-    return rows.agg(F.avg("v").alias("mean")).crossJoin(ci).select("mean", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    one = df.agg(F.avg(value).alias("mean"), F.transform(held, lambda x: x["v"]).alias("vs")).where(F.size("vs") > 0)
+    n = F.size("vs")
+    pick = lambda d: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b"), d)), 1, 12), 16, 10).cast("bigint") % n
+    drawn = F.transform(F.sequence(F.lit(0), n - 1), lambda d: F.get("vs", pick(d).cast("int")))
+    draws = df.sparkSession.range(replicates).withColumnRenamed("id", "b").crossJoin(F.broadcast(one)).select("b", "mean", F.explode(drawn).alias("v"))
+    means = draws.groupBy("b").agg(F.max("mean").alias("mean"), F.avg("v").alias("m"))
+    ci = means.agg(F.max("mean").alias("mean"), F.percentile("m", F.array(F.lit(low), F.lit(high))).alias("q"))
+    return ci.select("mean", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
