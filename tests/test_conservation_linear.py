@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -42,6 +43,15 @@ def test_drift_of_long_pages(spark, folder):
     assert got == {n: (1.0, 0.0, True) if n == 2 else (1.0, 1.0, False) for n in range(4)}  # (doc_id + 1) % 7 = 3
 
 
+def test_manifest_of_long_pages(spark, folder):
+    got = in_time(spark, "conservation_manifest", folder)
+    count = Counter(r.type for r in got)
+    assert count == {"tables": 4, "code_blocks": 4, "headings": 4, "list_items": 8, "links": 4, "numeric_spans": 4 * (3 * 2000 + 5)}
+    lost = {(r.doc_id, r.type) for r in got if r.status == "dropped" and r.type != "numeric_spans"}
+    assert lost == {(0, "code_blocks"), (1, "list_items"), (1, "links"), (2, "tables"), (3, "headings")}
+    assert all(r.status == "conserved" and r.chunk_hits == [1] for r in got if r.type == "tables" and r.doc_id != 2)
+
+
 def test_a_short_element_grows_over_its_own_line_only(spark):
     got = ledger(spark, "Total abc\n42 items, x7y9 and é5\n- a", ["42 items, x7y9 and é5", "- a"])
     assert [(r[0], r[1], r[2], r[4]) for r in got] == [("numeric_spans", 10, 12, "conserved"), ("numeric_spans", 21, 22, "conserved"), ("numeric_spans", 23, 24, "conserved"), ("numeric_spans", 31, 32, "conserved"), ("list_items", 33, 36, "conserved")]
