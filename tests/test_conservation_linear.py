@@ -52,6 +52,13 @@ def test_manifest_of_long_pages(spark, folder):
     assert all(r.status == "conserved" and r.chunk_hits == [1] for r in got if r.type == "tables" and r.doc_id != 2)
 
 
+def test_ratios_of_long_pages(spark, folder):
+    got = {(r.doc_id, r.type): (r.total, r.ratio) for r in in_time(spark, "conservation_per_type", folder)}
+    assert len(got) == 4 * len(conservation.TYPES)
+    assert {k for k, (_, ratio) in got.items() if ratio == 0} == {(0, "code_blocks"), (1, "list_items"), (1, "links"), (2, "tables"), (3, "headings")}
+    assert [got[n, "numeric_spans"][0] for n in range(4)] == [6005] * 4 and got[0, "numeric_spans"][1] == 1.0 > got[2, "numeric_spans"][1]
+
+
 def test_a_short_element_grows_over_its_own_line_only(spark):
     got = ledger(spark, "Total abc\n42 items, x7y9 and é5\n- a", ["42 items, x7y9 and é5", "- a"])
     assert [(r[0], r[1], r[2], r[4]) for r in got] == [("numeric_spans", 10, 12, "conserved"), ("numeric_spans", 21, 22, "conserved"), ("numeric_spans", 23, 24, "conserved"), ("numeric_spans", 31, 32, "conserved"), ("list_items", 33, 36, "conserved")]
